@@ -1,0 +1 @@
+"""Streaming of the cohort engine."""
