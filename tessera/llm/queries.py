@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import line_dedup, mixing, simhash
+from tessera.llm import byte_bpe, line_dedup, mixing, simhash
 from tessera.llm.common import table
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(table(spark, sf_dir, "documents"), *byte_bpe.public_ranks())
+
+
 def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.slots(table(spark, sf_dir, "documents"))
 
@@ -23,6 +27,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_byte_bpe": op5_byte_bpe,
     "op7_pfair_mixing": op7_pfair_mixing,
     "op9_line_dedup": op9_line_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
