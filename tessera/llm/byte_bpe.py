@@ -9,6 +9,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,55 +22,54 @@ from pyspark.sql import functions as F
 from tessera.llm.common import whole_text
 
 #: Spans that a task's memo holds before it is emptied.
-MEMO = 400_000
-#: A space beside other white space: there, spans between single spaces are not matched on their own.
-_UNEVEN = regex.compile(r"\s | \s")
+MEMO = 600_000
 
 
 class PerfectHash:
-    """Minimal perfect hash by hash-and-displace: n keys in n slots, one displacement for about four keys.
+    """Minimal perfect hash by hash-and-displace: n keys in n slots and a displacement for about two keys.
 
-    The slots hold the keys' offsets in one blob, so a lookup ends with one comparison of bytes.
+    The largest buckets are placed first; a bucket of one key names its slot outright. The slots hold the keys, so a lookup
+    ends with one comparison of bytes.
     """
 
-    def __init__(self, keys: list[bytes], values: list[int], load: int = 4):
+    def __init__(self, keys: list[bytes], values: list[int], load: int = 2):
         n = len(keys)
         self.n, self.buckets = n, max(1, -(-n // load))
-        hashes = np.array([xxhash.xxh3_64_intdigest(k) for k in keys], dtype=np.uint64)
-        if len(np.unique(hashes)) < n:
+        hashes = [xxhash.xxh3_64_intdigest(k) for k in keys]
+        if len(set(hashes)) < n:
             raise ValueError("repeated key or colliding 64-bit hashes")
-        bucket = (hashes % np.uint64(self.buckets)).astype(np.int64)
-        self.shift = np.zeros(self.buckets, dtype=np.uint32)
-        slot_of, free = np.full(n, -1, dtype=np.int64), np.ones(max(1, n), dtype=bool)
-        order = np.argsort(bucket, kind="stable")
-        first = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
-        for b in np.argsort(-np.diff(first), kind="stable").tolist():
-            own = order[first[b] : first[b + 1]]
-            if not len(own):
+        self.shift, own = [0] * self.buckets, [[] for _ in range(self.buckets)]
+        for i, h in enumerate(hashes):
+            own[h % self.buckets].append(i)
+        back: list[int | None] = [None] * n
+        for b in sorted(range(self.buckets), key=lambda b: -len(own[b])):
+            if len(own[b]) <= 1:
                 break
-            h, d = hashes[own], 0
+            d = 0
             while True:
-                at = self._slot(h, d)
-                if free[at].all() and len(np.unique(at)) == len(at):
+                at = [self._slot(hashes[i], d) for i in own[b]]
+                if len(set(at)) == len(at) and all(back[a] is None for a in at):
                     break
                 d += 1
-            free[at], slot_of[own], self.shift[b] = False, at, d
-        back = np.empty(n, dtype=np.int64)
-        back[slot_of] = np.arange(n)
-        self.keys, self.values = [keys[i] for i in back.tolist()], [values[i] for i in back.tolist()]
-        self.shift = self.shift.tolist()
-
-    def _slot(self, h: np.ndarray, d: int) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            x = (h ^ np.uint64(d * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
-        return ((x >> np.uint64(32)) % np.uint64(self.n)).astype(np.int64)
+            self.shift[b] = d
+            for a, i in zip(at, own[b], strict=True):
+                back[a] = i
+        free = (a for a in range(n) if back[a] is None)
+        for b in range(self.buckets):
+            if len(own[b]) == 1:
+                a = next(free)
+                back[a], self.shift[b] = own[b][0], -1 - a
+        self.keys, self.values = [keys[i] for i in back], [values[i] for i in back]
+
+    def _slot(self, h: int, d: int) -> int:
+        return (((h ^ d * 0x9E3779B97F4A7C15) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF) >> 32) % self.n
 
     def get(self, key: bytes) -> int | None:
         if not self.n:
             return None
         h = xxhash.xxh3_64_intdigest(key)
-        x = (h ^ (self.shift[h % self.buckets] * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
-        at = (x >> 32) % self.n
+        d = self.shift[h % self.buckets]
+        at = self._slot(h, d) if d >= 0 else -1 - d
         return self.values[at] if self.keys[at] == key else None
 
 
@@ -78,75 +78,83 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = MEMO):
         self.table = PerfectHash(list(ranks), list(ranks.values()))
+        self.ranks = ranks  # of the pairs that merge
         self.match = regex.compile(pattern).findall
         self.words = [b""] * (max(ranks.values()) + 1)
         for k, v in ranks.items():
             self.words[v] = k
+        self.sizes = list(map(len, self.words))
         self.memo, self.limit = {}, memo
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of a pre-token that is no entry: the pair with the least rank, then the first, merges until none can."""
-        n, get = len(piece), self.table.get
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        end = list(range(1, n + 1))  # of the symbol that starts here; 0: merged away
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := get(piece[i : i + 2])) is not None]
+        """Ids of a pre-token that is no entry: the pair with the least rank, then the first, merges until none can.
+
+        Symbols are linked by position: ``end[i]`` is where the symbol at i ends and the next one starts (0: merged away),
+        ``prev`` the start of the one before. A heap entry is a rank and a position; it is stale unless the two symbols
+        there now span as many bytes as the rank's entry.
+        """
+        n, get, size, push, pop = len(piece), self.ranks.get, self.sizes, heapq.heappush, heapq.heappop
+        low = n.bit_length()
+        mask = (1 << low) - 1
+        end, prev = list(range(1, n + 1)), list(range(-1, n))
+        heap = [r << low | i for i in range(n - 1) if (r := get(piece[i : i + 2])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, stop = heapq.heappop(heap)
-            j = after[i]
-            if not end[i] or j >= n or end[j] != stop:
-                continue  # one of the two has changed since
-            end[i], end[j] = stop, 0
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-                if (r := get(piece[i : end[k]])) is not None:
-                    heapq.heappush(heap, (r, i, end[k]))
-            if (h := before[i]) >= 0 and (r := get(piece[h:stop])) is not None:
-                heapq.heappush(heap, (r, h, stop))
+            x = pop(heap)
+            i = x & mask
+            j = end[i]
+            if not j or j == n:
+                continue
+            stop = end[j]
+            if stop - i != size[x >> low]:
+                continue
+            end[i], end[j], prev[stop] = stop, 0, i
+            if stop < n and (r := get(piece[i : end[stop]])) is not None:
+                push(heap, r << low | i)
+            if i and (r := get(piece[(h := prev[i]) : stop])) is not None:
+                push(heap, r << low | h)
         out, i = [], 0
         while i < n:
             out.append(get(piece[i : end[i]]))
-            i = after[i]
+            i = end[i]
         return out
 
     def _span(self, text: str) -> bytes:
         ids: list[int] = []
-        for token in self.match(text):
+        for token in (text,) if text[1:].isalpha() and text[0] == " " else self.match(text):
             piece = token.encode("utf-8", "surrogatepass")
             whole = self.table.get(piece)
             if whole is None:
                 ids += self.merge(piece)
             else:
                 ids.append(whole)
-        return np.array(ids, dtype="<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers.
 
         Where every space has other characters on both sides, no match of the pattern crosses into the next span that starts
-        with a space, so spans encode on their own.
+        with a space, so spans encode on their own; other texts are matched whole.
         """
-        if not text:
-            return b""
-        if _UNEVEN.search(text):
-            return self._span(text)
-        memo, out = self.memo, []
         first, *rest = text.split(" ")
-        out.append(self._span(first))
-        for s in rest:
-            got = memo.get(s)
-            if got is None:
-                got = self._span(" " + s)
-                if len(s) < 256:
-                    if len(memo) >= self.limit:
-                        memo.clear()
-                    memo[s] = got
-            out.append(got)
-        return b"".join(out)
+        if first[-1:].isspace():
+            return self._span(text)
+        memo = self.memo
+        out = list(map(memo.get, rest))
+        if None in out:
+            for i, s in enumerate(rest):
+                if out[i] is None:
+                    if not s or s[0].isspace() or s[-1].isspace():
+                        return self._span(text)
+                    out[i] = got = self._span(" " + s)
+                    if len(s) < 256:
+                        if len(memo) >= self.limit:
+                            memo.clear()
+                        memo[s] = got
+        return self._span(first) + b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.words.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+        return b"".join(map(self.words.__getitem__, memoryview(np.frombuffer(ids, dtype="<u4")).tolist()))
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
