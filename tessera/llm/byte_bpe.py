@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding by a public rank file.
 
 Two tiers: a minimal perfect hash over the vocabulary resolves pre-tokens that are whole entries; the others are merged with
-a heap of adjacent pairs over linked bytes. A bounded memo keeps what spans of a text between single spaces encode to.
+a heap of adjacent pairs over linked bytes. A bounded memo keeps what spans of a text between single spaces and matches of the pattern encode to.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import whole_text
 
 #: Spans that a task's memo holds before it is emptied.
-MEMO = 600_000
+MEMO = 1_000_000
 
 
 class PerfectHash:
@@ -84,7 +84,7 @@ class Codec:
         for k, v in ranks.items():
             self.words[v] = k
         self.sizes = list(map(len, self.words))
-        self.memo, self.limit = {}, memo
+        self.memo, self.bare, self.limit = {}, {}, memo
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of a pre-token that is no entry: the pair with the least rank, then the first, merges until none can.
@@ -119,16 +119,30 @@ class Codec:
             i = end[i]
         return out
 
-    def _span(self, text: str) -> bytes:
-        ids: list[int] = []
-        for token in (text,) if text[1:].isalpha() and text[0] == " " else self.match(text):
+    def _token(self, token: str) -> bytes:
+        """A match of the pattern: the perfect hash, else merges. Remembered apart from the span it stands in."""
+        spaced = token[0] == " " and len(token) > 1
+        memo, key = (self.memo, token[1:]) if spaced else (self.bare, token)
+        got = memo.get(key)
+        if got is None:
             piece = token.encode("utf-8", "surrogatepass")
             whole = self.table.get(piece)
             if whole is None:
-                ids += self.merge(piece)
+                ids = self.merge(piece)
+                got = struct.pack(f"<{len(ids)}I", *ids)
             else:
-                ids.append(whole)
-        return struct.pack(f"<{len(ids)}I", *ids)
+                got = whole.to_bytes(4, "little")
+            self._keep(memo, key, got)
+        return got
+
+    def _keep(self, memo: dict[str, bytes], key: str, value: bytes) -> None:
+        if len(key) < 128:
+            if len(memo) >= self.limit:
+                memo.clear()
+            memo[key] = value
+
+    def _whole(self, text: str) -> bytes:
+        return b"".join(map(self._token, self.match(text)))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers.
@@ -138,20 +152,22 @@ class Codec:
         """
         first, *rest = text.split(" ")
         if first[-1:].isspace():
-            return self._span(text)
+            return self._whole(text)
         memo = self.memo
         out = list(map(memo.get, rest))
         if None in out:
             for i, s in enumerate(rest):
                 if out[i] is None:
+                    if s.isalpha():  # one match, with its space
+                        out[i] = self._token(" " + s)
+                        continue
                     if not s or s[0].isspace() or s[-1].isspace():
-                        return self._span(text)
-                    out[i] = got = self._span(" " + s)
-                    if len(s) < 256:
-                        if len(memo) >= self.limit:
-                            memo.clear()
-                        memo[s] = got
-        return self._span(first) + b"".join(out)
+                        return self._whole(text)
+                    tokens = self.match(" " + s)
+                    out[i] = got = b"".join(map(self._token, tokens))
+                    if len(tokens) == 2:
+                        self._keep(memo, s, got)
+        return self._whole(first) + b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.words.__getitem__, memoryview(np.frombuffer(ids, dtype="<u4")).tolist()))
