@@ -52,13 +52,14 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        values = np.array([fingerprint(t) for t in b.column(1).to_pylist()], dtype=np.uint64)
-        yield pa.record_batch([b.column(0), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
+        values = np.array([fingerprint(t) for t in b.column(2).to_pylist()], dtype=np.uint64)
+        yield pa.record_batch([b.column(0), b.column(1), pa.array(values.view(np.int64))], names=["doc_id", "th", "fp"])
 
 
 def with_fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's bits as a signed long."""
-    return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    """(doc_id, th, fp): a hash that tells texts of one doc_id apart, and the fingerprint's bits as a signed long."""
+    text = whole_text("`text`")
+    return docs.select(F.col("`doc_id`").cast("long"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(_fingerprints, "doc_id long, th long, fp long")
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
@@ -253,6 +254,18 @@ def near_edges(distinct_fps: DataFrame, radius: int = 4, chunk: int = CHUNK) ->
     return dealt.mapInArrow(lambda it: _edges_of(it, radius), "fu long, fv long").distinct()
 
 
+def _grouped(docs: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of all rows, and (fp, grp, component_id): grp is the same for all fingerprints of a component."""
+    fps = written(with_fingerprints(docs), "fingerprints")
+    distinct_fps = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
+    links = near_edges(distinct_fps, radius)
+    groups = components(links.select(F.col("fu").alias("u"), F.col("fv").alias("v")))
+    least = groups.join(distinct_fps, groups.node == distinct_fps.fp).groupBy("component").agg(F.min("rep").alias("least"))
+    joined = groups.join(least, "component").select(F.col("node").alias("fp"), F.col("component"), "least")
+    grp = F.coalesce("component", "fp").alias("grp")
+    return fps, distinct_fps.join(joined, "fp", "left").select("fp", grp, F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs`` (doc_id, text).
 
@@ -260,11 +273,20 @@ def near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
     are linked like any other; repeated rows come out as often as they come in; an empty table gives no rows; a null doc_id
     gets the least doc_id of its group, null if there is none. Other columns, whatever their names, are not read.
     """
-    fps = written(with_fingerprints(docs), "fingerprints")
-    distinct_fps = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
-    links = near_edges(distinct_fps, radius)
-    groups = components(links.select(F.col("fu").alias("u"), F.col("fv").alias("v")))
-    least = groups.join(distinct_fps, groups.node == distinct_fps.fp).groupBy("component").agg(F.min("rep").alias("rep"))
-    classes = groups.join(least, "component").select(F.col("node").alias("fp"), F.col("rep").alias("component_id"))
-    classes = distinct_fps.join(classes, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
+    fps, classes = _grouped(docs, radius)
     return fps.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, radius: int = 4) -> DataFrame:
+    """One row of ``docs`` for each near-duplicate group, all its columns: that with the least doc_id (null ids last; of
+    several texts with that id, the least hash; of equal rows, one).
+
+    The winners are found among rows of three numbers, so that a hot group moves no texts; the texts are shuffled once, by
+    doc_id and hash.
+    """
+    fps, classes = _grouped(docs, radius)
+    best = fps.join(classes, "fp").groupBy("grp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("b"))
+    best = best.select(F.col("b.doc_id").alias("best_id"), F.col("b.th").alias("best_th"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("`doc_id`").cast("long").alias("own_id"), F.xxhash64(whole_text("`text`")).alias("own_th"))
+    kept = rows.join(best, F.col("own_id").eqNullSafe(F.col("best_id")) & (F.col("own_th") == F.col("best_th")), "left_semi").dropDuplicates(["own_id", "own_th"])
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -24,6 +24,8 @@ FIT_ROWS = 20_000
 LEXICON, MIN_TEXTS, MIN_SHARE, MIN_WEIGHT = 1024, 3, 0.02, 1.2
 #: Lengths of the word beginnings that are tried as entries besides whole words.
 STEMS = (4, 5, 6, 7)
+#: Parts of the labelled rows, for lexica and trees that haven't seen a part.
+FOLDS = 4
 #: Weight from which an entry alone says much.
 STRONG = 4.0
 #: Second-person words of English, German, French and Spanish.
@@ -197,53 +199,65 @@ def _sample(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
     chosen = known.join(text.select("id").distinct(), F.col("doc_id") == F.col("id"), "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     chosen = written(chosen, "toxicity-labels")  # at most fit_rows rows of 12 bytes, so it may be broadcast
     found = text.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    return written(found.select("doc_id", "toxic", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(3)).cast("int").alias("fold"), "text"), "toxicity-sample")
+    return written(found.select("doc_id", "toxic", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold"), "text"), "toxicity-sample")
 
 
-def learn_lexicon(sample: DataFrame, size: int = LEXICON) -> dict[str, float]:
-    """Entries with their weights: log odds, smoothed, of being in a toxic text against another one."""
-    texts = sample.groupBy().agg(F.count("*").alias("n"), F.sum("toxic").alias("pos")).first()
-    pos, neg = float(texts.pos or 0), float(texts.n - (texts.pos or 0))
+def learn_lexicons(sample: DataFrame, size: int = LEXICON) -> list[dict[str, float]]:
+    """Entries with their weights (log odds, smoothed, of being in a toxic text against another one): first from all rows,
+    then for each fold from the rows outside it."""
+    folds = range(FOLDS)
+    texts = {(r.fold, r.toxic): r.n for r in sample.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect()}  # at most two a fold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             count: dict[str, list[int]] = {}
-            for toxic, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for toxic, fold, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 for e in entries_of(t):
-                    count.setdefault(e, [0, 0])[toxic] += 1
-            keys = list(count)
-            yield pa.record_batch([pa.array(keys, pa.string()), pa.array([count[k][0] for k in keys], pa.int64()), pa.array([count[k][1] for k in keys], pa.int64())], names=["entry", "clean", "toxic"])
-
-    counts = sample.select("toxic", "text").mapInArrow(run, "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    odds = F.log((F.col("toxic") + 0.1) / (pos + 0.2)) - F.log((F.col("clean") + 0.1) / (neg + 0.2))
-    best = counts.filter(F.col("toxic") >= max(MIN_TEXTS, MIN_SHARE * pos)).select("entry", F.round(odds, 6).alias("weight"), (F.col("toxic") * odds).alias("gain"))
-    best = best.filter(F.col("weight") > MIN_WEIGHT).orderBy(F.col("gain").desc(), "entry").limit(size)
-    return {r.entry: r.weight for r in best.collect()}
+                    count.setdefault(e, [0] * 2 * FOLDS)[2 * fold + toxic] += 1
+            yield pa.record_batch([pa.array(list(count), pa.string()), *(pa.array([c[k] for c in count.values()], pa.int64()) for k in range(2 * FOLDS))], names=["entry", *names])
+
+    names = [f"{kind}{k}" for k in folds for kind in ("clean", "toxic")]
+    counts = sample.select("toxic", "fold", "text").mapInArrow(run, "entry string, " + ", ".join(f"{n} long" for n in names)).groupBy("entry").agg(*[F.sum(n).alias(n) for n in names])
+    counts = written(counts.filter(sum(F.col(f"toxic{k}") for k in folds) >= MIN_TEXTS), "lexicon-counts")
+    out = []
+    for left in (None, *folds):
+        used = [k for k in folds if k != left]
+        clean, toxic = (sum(F.col(f"{kind}{k}") for k in used) for kind in ("clean", "toxic"))
+        neg, pos = (float(sum(texts.get((k, y), 0) for k in used)) for y in (0, 1))
+        odds = F.log((toxic + 0.1) / (pos + 0.2)) - F.log((clean + 0.1) / (neg + 0.2))
+        best = counts.filter(toxic >= max(MIN_TEXTS, MIN_SHARE * pos)).select("entry", F.round(odds, 6).alias("weight"), F.round(toxic * odds, 6).alias("gain"))
+        best = best.filter(F.col("weight") > MIN_WEIGHT).orderBy(F.col("gain").desc(), "entry").limit(size)
+        out.append({r.entry: r.weight for r in best.collect()})
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """Learns from rows of ``docs`` that have a label and whose crc32(doc_id as text) mod 5 is not 0.
 
-    Two thirds of them give lexicon and trees, the last third the calibration. Without labels of both kinds the model scores
-    all texts by the share of toxic labels (0 without labels).
+    The trees see each row by the lexicon that its fold had no part in, and calibration its score by trees that its fold had
+    no part in, so neither rests on hits that only these very rows have. Without labels of both kinds the model scores all
+    texts by the share of toxic labels (0 without labels).
     """
     sample = _sample(docs, labels, fit_rows)
-    lexicon = Lexicon(learn_lexicon(sample.filter("fold <> 0")))
+    full, *others = (Lexicon(w) for w in learn_lexicons(sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = pa.array([features(t, lexicon) for t in b.column(3).to_pylist()], pa.list_(pa.float64()))
+            x = pa.array([features(t, others[k]) for k, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.list_(pa.float64()))
             yield pa.record_batch([b.column(0), b.column(1), b.column(2), x], names=["doc_id", "toxic", "fold", "x"])
 
     rows = sample.mapInArrow(run, "doc_id long, toxic int, fold int, x array<double>").collect()  # at most fit_rows
     rows.sort(key=lambda r: r.doc_id)
     y, fold = np.array([r.toxic for r in rows], dtype=float), np.array([r.fold for r in rows])
     x = np.array([r.x for r in rows], dtype=float).reshape(-1, len(FEATURES))
-    if len(set(y[fold != 0].tolist())) < 2:
-        return Model(lexicon, constant=float(y.mean()) if len(y) else 0.0)
-    trees = Trees().fit(x[fold != 0], y[fold != 0])
-    own = fold == 0 if len(set(y[fold == 0].tolist())) == 2 else np.ones(len(y), dtype=bool)
-    return Model(lexicon, trees, isotonic(trees.raw(x[own]), y[own]))
+    if len(set(y.tolist())) < 2:
+        return Model(full, constant=float(y.mean()) if len(y) else 0.0)
+    raw = np.zeros(len(y))
+    for k in range(FOLDS):
+        if (own := fold == k).any():
+            rest = ~own if not own.all() else own
+            raw[own] = Trees().fit(x[rest], y[rest]).raw(x[own])
+    return Model(full, Trees().fit(x, y), isotonic(raw, y))
 
 
 def scored(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:

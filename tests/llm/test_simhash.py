@@ -100,3 +100,12 @@ def test_empty_table_and_repeated_rows(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     got = simhash.near_duplicates(spark.createDataFrame([(7, "a b"), (7, "a b"), (None, "a b")], "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.component_id) for r in got) == [(0, 7), (7, 7), (7, 7)]
+
+
+def test_representatives(spark):
+    rows = [(5, "a b", 1), (3, "a b", 2), (3, "a b", 2), (3, "x y z", 3), (None, "q r s", 4), (None, "t u v", 5), (None, "a b", 6), (9, None, 7), (8, " ", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, th int")
+    out = simhash.representatives(docs)
+    assert out.columns == docs.columns
+    assert sorted(r.th for r in out.collect()) == [2, 3, 4, 5, 8]
+    assert simhash.representatives(docs.limit(0)).collect() == []
