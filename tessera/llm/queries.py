@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, line_dedup, mixing, simhash, toxicity
+from tessera.llm import byte_bpe, html_extract, line_dedup, mixing, simhash, toxicity
 from tessera.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extracted(table(spark, sf_dir, "pages"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), *byte_bpe.public_ranks())
 
@@ -33,6 +37,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_html_main_text": op2_html_main_text,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_pfair_mixing": op7_pfair_mixing,
     "op9_line_dedup": op9_line_dedup,
