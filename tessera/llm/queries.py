@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, html_extract, line_dedup, mixing, simhash, toxicity
+from tessera.llm import byte_bpe, html_extract, line_dedup, mixing, simhash, toxicity, warc_store
 from tessera.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), *byte_bpe.public_ranks())
 
 
+def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_store.archived(table(spark, sf_dir, "pages"))
+
+
 def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.slots(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_html_main_text": op2_html_main_text,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_warc_archive": op6_warc_archive,
     "op7_pfair_mixing": op7_pfair_mixing,
     "op9_line_dedup": op9_line_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
@@ -46,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: Queries without an entry are tested against brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {
+    "op6_warc_archive": warc_store.SQL,
     "op7_pfair_mixing": mixing.SQL,
     "op9_line_dedup": line_dedup.SQL,
 }
