@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, html_extract, line_dedup, mixing, simhash, toxicity, warc_store
+from tessera.llm import byte_bpe, html_extract, line_dedup, media_audio, mixing, simhash, toxicity, warc_store
 from tessera.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extracted(table(spark, sf_dir, "pages"))
 
 
+def op3_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_audio.stored(table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), *byte_bpe.public_ranks())
 
@@ -42,6 +46,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_html_main_text": op2_html_main_text,
+    "op3_mpeg_audio": op3_mpeg_audio,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_warc_archive": op6_warc_archive,
     "op7_pfair_mixing": op7_pfair_mixing,
