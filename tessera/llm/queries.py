@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, html_extract, line_dedup, media_audio, mixing, simhash, toxicity, warc_store
+from tessera.llm import byte_bpe, embed_dedup, html_extract, line_dedup, media_audio, mixing, simhash, toxicity, warc_store
 from tessera.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op3_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_audio.stored(table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.linked(table(spark, sf_dir, "embeddings"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), *byte_bpe.public_ranks())
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_html_main_text": op2_html_main_text,
     "op3_mpeg_audio": op3_mpeg_audio,
+    "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_warc_archive": op6_warc_archive,
     "op7_pfair_mixing": op7_pfair_mixing,
