@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import re
+import string
 from collections import Counter
 from collections.abc import Iterator
 
@@ -40,9 +41,7 @@ DISGUISES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7"
 _WORD = re.compile(r"[^\W\d_]+")
 _MIXED = re.compile(r"(?<![^\W\d_])[^\W\d_]++[0-9@$!|*]++[^\W\d_]++")
 _SPACED = re.compile(r"(?:\b[^\W\d_][ .\-*_]){3,}[^\W\d_]\b")
-_DRAWN = re.compile(r"([^\W\d_])\1{2,}")
-_MARKS = re.compile(r"[!?]")
-_PUNCT = re.compile(r"[^\w\s]")
+_SHOUTED = re.compile(r"(?<![^\W\d_])[A-Z]{3,}+(?![^\W\d_])")
 
 FEATURES = (
     "hits", "hit_density", "strong_hits", "strong_density", "stem_repeats", "stem_density", "entries", "weight_max", "weight_mean", "disguised_hits", "near_second_person", "second_person", "capitals", "shouted",
@@ -56,50 +55,61 @@ def entries_of(text: str) -> set[str]:
     return words | {w[:k] + "-" for w in words for k in STEMS if len(w) >= k}
 
 
-class Lexicon:
-    """Entries with weights; a word's weight is that of its best entry and is remembered, within bounds."""
+class Lexicon(dict):
+    """Weight of every word asked for: that of its best entry, remembered within bounds."""
 
     def __init__(self, weights: dict[str, float]):
-        self.weights, self.memo = weights, {}
-
-    def weight(self, word: str) -> float:
-        got = self.memo.get(word)
-        if got is None:
-            get = self.weights.get
-            got = max([get(word, 0.0), *(get(word[:k] + "-", 0.0) for k in STEMS if len(word) >= k)])
-            if len(self.memo) > 300_000:
-                self.memo.clear()
-            self.memo[word] = got
+        super().__init__()
+        self.weights = weights
+
+    def __missing__(self, word: str) -> float:
+        get = self.weights.get
+        got = max([get(word, 0.0), *(get(word[:k] + "-", 0.0) for k in STEMS if len(word) >= k)])
+        if len(self) > 500_000:
+            self.clear()
+        if len(word) < 64:
+            self[word] = got
         return got
 
+    def __reduce__(self):
+        return Lexicon, (self.weights,)
+
     def stem(self, word: str) -> str:
         """The shortest entry that the word begins with, or the word."""
         return next((word[:k] for k in STEMS if word[:k] + "-" in self.weights), word)
 
 
+_CAPITAL, _LETTER, _PUNCT, _SYMBOL = (np.array([chr(c) in x for c in range(128)] + [False] * 128) for x in (string.ascii_uppercase, string.ascii_letters, string.punctuation, string.digits + "@$!|*"))
+
+
 def features(text: str, lexicon: Lexicon) -> list[float]:
-    """The values of FEATURES; all zero for a text without words or signs."""
-    words = _WORD.findall(text)
-    n, chars = max(1, len(words)), max(1, len(text))
-    low = [w.lower() for w in words]
-    weights = list(map(lexicon.weight, low))
-    at = [i for i, w in enumerate(weights) if w > 0]
-    you = [i for i, w in enumerate(low) if w in SECOND_PERSON]
-    near = 0
-    for i in at:
-        k = np.searchsorted(you, i - NEAR) if you else 0
-        near += bool(you) and k < len(you) and you[k] <= i + NEAR
-    mixed = _MIXED.findall(text)
-    disguised = sum(lexicon.weight(w.lower().translate(DISGUISES).replace("*", "")) > 0 for w in mixed)
-    letters = sum(map(len, words))
-    capitals = sum(map(str.isupper, text)) if text != text.lower() else 0
-    hit = [weights[i] for i in at]
-    strong = sum(w >= STRONG for w in hit)
-    repeats = max(Counter(lexicon.stem(low[i]) for i in at).values(), default=0)
+    """The values of FEATURES; all zero for a text without words or signs. Capitals, drawn-out letters and punctuation are
+    those of ASCII."""
+    low = _WORD.findall(text.lower())
+    n, chars = max(1, len(low)), max(1, len(text))
+    weights = np.fromiter(map(lexicon.__getitem__, low), dtype=np.float64, count=len(low))
+    at = np.flatnonzero(weights > 0)
+    hit = weights[at]
+    hits = [low[i] for i in at.tolist()]
+    you = np.array([i for i, w in enumerate(low) if w in SECOND_PERSON], dtype=np.int64)
+    k = np.searchsorted(you, at - NEAR)
+    near = int((you[np.minimum(k, len(you) - 1)][k < len(you)] <= at[k < len(you)] + NEAR).sum()) if len(you) else 0
+    raw = np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8)
+    count = np.bincount(raw, minlength=256)
+    capital, letter = _CAPITAL[raw], _LETTER[raw]
+    shouted = len(_SHOUTED.findall(text)) if (capital[2:] & capital[1:-1] & capital[:-2]).any() else 0
+    third = letter[2:] & (raw[2:] == raw[1:-1]) & (raw[1:-1] == raw[:-2])
+    drawn = int(third.sum() - (third[1:] & third[:-1]).sum())
+    mixed = _MIXED.findall(text) if count[_SYMBOL].any() else []
+    disguised = sum(lexicon[w.lower().translate(DISGUISES).replace("*", "")] > 0 for w in mixed)
+    spaced = len(_SPACED.findall(text)) if sum(map((1).__eq__, map(len, low))) > 3 else 0
+    strong = int((hit >= STRONG).sum())
+    repeats = max(Counter(map(lexicon.stem, hits)).values(), default=0)
+    letters = sum(map(len, low))
     return [
-        len(at), len(at) / n, strong, strong / n, repeats, repeats / n, len({low[i] for i in at}), max(hit, default=0.0), sum(hit) / n, disguised, near / n, len(you) / n, capitals / max(1, letters),
-        sum(len(w) > 2 and w.isupper() for w in words) / n, len(_MARKS.findall(text)) / chars, len(_PUNCT.findall(text)) / chars, len(_DRAWN.findall(text)) / n,
-        len(mixed) / n, len(_SPACED.findall(text)) / n, math.log1p(len(words)), letters / n,
+        len(at), len(at) / n, strong, strong / n, repeats, repeats / n, len(set(hits)), float(hit.max(initial=0)), float(hit.sum()) / n, disguised, near / n, len(you) / n,
+        int(count[_CAPITAL].sum()) / max(1, letters), shouted / n, int(count[33] + count[63]) / chars, int(count[_PUNCT].sum()) / chars, drawn / n, len(mixed) / n, spaced / n,
+        math.log1p(len(low)), letters / n,
     ]
 
 
