@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, embed_dedup, html_extract, line_dedup, media_audio, mixing, simhash, toxicity, warc_store
+from tessera.llm import byte_bpe, embed_dedup, html_extract, line_dedup, media_audio, mixing, simhash, token_store, toxicity, warc_store
 from tessera.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.slots(table(spark, sf_dir, "documents"))
 
 
+def op8_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.stored(table(spark, sf_dir, "documents"), token_store.public_tokenizer())
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(table(spark, sf_dir, "documents"), counts=True).select("doc_id", "source", "text", "n_lines", "n_dropped")
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_warc_archive": op6_warc_archive,
     "op7_pfair_mixing": op7_pfair_mixing,
+    "op8_wavelet_tokens": op8_wavelet_tokens,
     "op9_line_dedup": op9_line_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
