@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -27,9 +28,12 @@ SHARD_TOKENS = 1 << 20
 SUPER = 512
 #: The id that ends every document.
 END = 1
-#: Chunks of text that a task's memo holds before it is emptied.
+#: Chunks of text that a worker's memo holds, about, before it is emptied.
 MEMO = 1_000_000
 
+#: The byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: b if b in _PLAIN else 256 + sum(x not in _PLAIN for x in range(b)) for b in range(256)}
 _MAGIC = b"TWM1"
 _COUNT = np.array([bin(x).count("1") for x in range(256)], dtype=np.uint16)
 
@@ -163,39 +167,75 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.memo, self.limit = {}, memo
-
-    def _ask(self, chunks: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    def encode(self, text: str) -> bytes:
-        """As the library encodes the whole text, as little-endian unsigned 32-bit integers.
+        self.tokenize = self.library.model.tokenize
+
+    def _ask(self, texts: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _word(self, word: str) -> bytes | None:
+        """Ids of letters only, by the library's model: one match, which the model takes as its bytes' characters. None if the
+        library's normalizer could change it into something else than its lower-case letters."""
+        low = word.lower()
+        if not low.isascii():
+            if not (low.isalpha() and unicodedata.is_normalized("NFC", word) and unicodedata.is_normalized("NFC", low)) or "\u03a3" in word:
+                return None
+            low = low.encode().decode("latin-1").translate(_BYTE_CHARS)
+        ids = [t.id for t in self.tokenize(low)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Remembers chunks: letters by the model, letters with one mark after them as two matches, others by the library."""
+        memo, others, later = self.memo, [], []
+        for c in chunks:
+            word = c[:-1] if c[-1] in ".,;:" else c
+            if not word.isalpha():
+                others.append(c)
+                continue
+            got = memo.get(word)
+            if got is None:
+                got = self._word(word)
+                if got is None:
+                    others.append(c)
+                    continue
+                memo[word] = got
+            if word is not c and len(word) < len(c):
+                later.append((c, got, c[-1]))
+        marks = {m for _, _, m in later}.difference(memo)
+        others += marks
+        memo.update(zip(others, self._ask(others), strict=True))
+        for c, got, mark in later:
+            memo[c] = got + memo[mark]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """As the library encodes each whole text, as little-endian unsigned 32-bit integers.
 
         str.split also splits at the four separators 1C to 1F, which aren't white space to the library, and strings of
-        special tokens may hold white space: such texts are encoded whole.
+        special tokens may hold white space: such texts are encoded whole. The memo is emptied between calls if it is full.
         """
-        if "<|" in text or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
-            return self._ask([text])[0]
-        chunks = (text.lower() if text.isascii() else text).split()
-        memo = self.memo
-        out = list(map(memo.get, chunks))
-        if None in out:
-            new = list({c for c, o in zip(chunks, out, strict=True) if o is None})
-            known = dict(zip(new, self._asked(new), strict=True))
-            out = [known[c] if o is None else o for c, o in zip(chunks, out, strict=True)]
-            if len(memo) + len(new) > self.limit:
-                memo.clear()
-            memo.update((k, v) for k, v in known.items() if len(k) < 128)
-        return b"".join(out)
-
-    def _asked(self, new: list[str]) -> list[bytes]:
-        """Letters with one mark after them are two matches, so each part is looked up or asked for alone."""
-        parts = [(c[:-1], c[-1]) if c[-1] in ".,;:" and c[:-1].isalpha() else (c,) for c in new]
         memo = self.memo
-        ask = list({p for x in parts for p in x if p not in memo})
-        got = dict(zip(ask, self._ask(ask), strict=True))
-        if len(memo) + len(got) <= self.limit:
-            memo.update((k, v) for k, v in got.items() if len(k) < 128)
-        return [b"".join([got[p] if p in got else memo[p] for p in x]) for x in parts]
+        if len(memo) > self.limit:
+            memo.clear()
+        whole = [i for i, t in enumerate(texts) if "<|" in t or "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t]
+        odd = set(whole)
+        found, missing, new = [], [], set()
+        for i, t in enumerate(texts):
+            chunks = [] if i in odd else (t.lower() if t.isascii() else t).split()
+            got = list(map(memo.get, chunks))
+            if None in got:
+                lack = [(k, c) for k, (c, x) in enumerate(zip(chunks, got, strict=True)) if x is None]
+                new.update([c for _, c in lack])
+                missing.append((i, lack))
+            found.append(got)
+        if new:
+            self._learn(new)
+        for i, lack in missing:
+            own = found[i]
+            for k, c in lack:
+                own[k] = memo[c]
+        out = list(map(b"".join, found))
+        for i, ids in zip(whole, self._ask([texts[i] for i in whole]), strict=True):
+            out[i] = ids
+        return out
 
 
 SHARD = "part int, seq int, n_tokens long, doc_ids array<long>, lengths array<long>, matrix binary"
@@ -218,9 +258,14 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             return pa.record_batch([pa.array([x], t) for x, t in zip((part, seq, total, docs_, lengths, matrix.to_bytes()), kinds, strict=True)], names=["part", "seq", "n_tokens", "doc_ids", "lengths", "matrix"])
 
+        def encoded(b: pa.RecordBatch) -> Iterator[tuple[int | None, bytes]]:
+            for at in range(0, b.num_rows, 256):  # bounds what is encoded at a time
+                part = b.slice(at, 256)
+                yield from zip(part.column(0).to_pylist(), encoder.encode_all(part.column(1).to_pylist()), strict=True)
+
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                got = encoder.encode(text) + end
+            for doc_id, got in encoded(b):
+                got += end
                 if docs_ and total + len(got) // 4 > shard_tokens:
                     yield shard()
                     ids, docs_, lengths, total, seq = [], [], [], 0, seq + 1

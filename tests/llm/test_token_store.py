@@ -33,9 +33,11 @@ def test_encodes_as_the_library():
     rng = random.Random(4)
     library, own = Tokenizer.from_file(PATH), token_store.Encoder(PATH, memo=40)
     pool = list("abcdeTHEr'st  \n\t.,;:!?0123éÉßİΣς漢🙂́ \x1c\x85 ")
-    texts = ["", " ", "Hello, World.", "don't we'll", "é x", "<|endoftext|> a", "a<|startoftext|>", "ΑΣ. ΑΣ", "A" * 3000] + ["".join(rng.choice(pool) for _ in range(rng.randint(1, 120))) for _ in range(600)]
-    for t in texts:
-        assert list(struct.unpack(f"<{len(own.encode(t)) // 4}I", own.encode(t))) == library.encode(t, add_special_tokens=False).ids, repr(t)
+    texts = ["", " ", "Hello, World.", "don't we'll", "é x", "<|endoftext|> a", "a<|startoftext|>", "ΑΣ. ΑΣ", "İstanbul ﬁne \u0958a \u0958, ǅ", "word, " * 50, "A" * 3000] + ["".join(rng.choice(pool) for _ in range(rng.randint(1, 120))) for _ in range(600)]
+    for at in range(0, len(texts), 7):
+        for t, got in zip(texts[at : at + 7], own.encode_all(texts[at : at + 7]), strict=True):
+            assert list(struct.unpack(f"<{len(got) // 4}I", got)) == library.encode(t, add_special_tokens=False).ids, repr(t)
+    assert own.encode_all([]) == []
 
 
 def test_rows_and_counts(spark):
