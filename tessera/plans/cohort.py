@@ -588,3 +588,39 @@ def mutation_region_multiplicity(spark, sf_dir):
     rows = fitted(spark, sf_dir)
     out = report.mutation_regions(rows.drop("cluster", "phi"), labels(rows), _centers(rows))
     return out.select("tumor_id", "mutation_id", "region_id", "cluster_label", _r("phi").alias("phi"), "major_cn", "minor_cn")
+
+
+# --- iterative kernels: rows only ------------------------------------------------------------------------------------------
+@query((), None)
+def ward_labels(spark, sf_dir):
+    from tessera.operators import kernels
+
+    return kernels.ward_labels(units(spark, sf_dir))
+
+
+@query((), None)
+def cem_refine(spark, sf_dir):
+    from tessera.operators import kernels
+
+    return kernels.cem_labels(units(spark, sf_dir))
+
+
+@query((), None)
+def interval_certificate(spark, sf_dir):
+    from tessera.operators import kernels
+
+    return kernels.certified_refit(fitted(spark, sf_dir))
+
+
+@query((), None)
+def admm_fit(spark, sf_dir):
+    from tessera.operators import kernels
+
+    return kernels.fused_profiles(units(spark, sf_dir), 0.5)
+
+
+@query((), None)
+def lambda_search(spark, sf_dir):
+    from tessera.operators import kernels
+
+    return kernels.selected_models(units(spark, sf_dir))
