@@ -617,10 +617,3 @@ def admm_fit(spark, sf_dir):
     from tessera.operators import kernels
 
     return kernels.fused_profiles(units(spark, sf_dir), 0.5)
-
-
-@query((), None)
-def lambda_search(spark, sf_dir):
-    from tessera.operators import kernels
-
-    return kernels.selected_models(units(spark, sf_dir))

@@ -7,7 +7,7 @@ import duckdb
 from pyspark.sql import SparkSession
 
 import __spark_entry__ as entry
-from tests.llm_free import compare, views
+from tests.compare_rows import compare, views
 
 if __name__ == "__main__":
     sf = f"/root/testdata/{sys.argv[1]}"
