@@ -77,12 +77,19 @@ def norm(array="diff"):
     return F.sqrt(_add(F.transform(F.col(array), lambda x: x * x)))
 
 
-def adjoint(dual: DataFrame) -> DataFrame:
-    """(tumor_id, mutation_id, adj): sum of the edge vectors that leave a mutation less those that enter it. Both ends are
-    emitted by one explode and summed region by region, so partial sums are taken before the shuffle."""
-    ends = F.array(F.struct(F.col("u").alias("m"), F.col("dual").alias("y")), F.struct(F.col("v").alias("m"), F.transform("dual", lambda y: -y).alias("y")))
-    rows = dual.select("tumor_id", F.explode(ends).alias("e")).select("tumor_id", F.col("e.m").alias("mutation_id"), F.posexplode("e.y").alias("i", "y"))
-    sums = rows.groupBy("tumor_id", "mutation_id", "i").agg(F.sum("y").alias("y"))
+def adjoint(dual: DataFrame, n_regions: int | None = None) -> DataFrame:
+    """(tumor_id, mutation_id, adj): sum of the edge vectors that leave a mutation less those that enter it.
+
+    With the number of regions (the most that a tumor has; others end in zeros) each end is one row and regions are summed as
+    columns, in one aggregate with partial sums; without it an end is one row for each region.
+    """
+    ends = F.array(F.struct(F.col("u").alias("m"), F.lit(1.0).alias("sign")), F.struct(F.col("v").alias("m"), F.lit(-1.0).alias("sign")))
+    if n_regions:
+        flat = dual.select("tumor_id", F.explode(ends).alias("e"), *[F.get("dual", F.lit(i)).alias(f"y{i}") for i in range(n_regions)])
+        sums = flat.groupBy("tumor_id", F.col("e.m").alias("mutation_id")).agg(*[F.sum(F.col("e.sign") * F.coalesce(F.col(f"y{i}"), F.lit(0.0))).alias(f"y{i}") for i in range(n_regions)])
+        return sums.select("tumor_id", "mutation_id", F.array(*[f"y{i}" for i in range(n_regions)]).alias("adj"))
+    rows = dual.select("tumor_id", F.explode(ends).alias("e"), "dual").select("tumor_id", F.col("e.m").alias("mutation_id"), F.col("e.sign").alias("sign"), F.posexplode("dual").alias("i", "y"))
+    sums = rows.groupBy("tumor_id", "mutation_id", "i").agg(F.sum(F.col("sign") * F.col("y")).alias("y"))
     return sums.groupBy("tumor_id", "mutation_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "y"))), lambda s: s["y"]).alias("adj"))
 
 

@@ -354,6 +354,10 @@ def analytic_dual(spark, sf_dir):
     return _dual(spark, sf_dir).select("tumor_id", "u", "v", F.posexplode("dual").alias("region", "dual")).withColumn("dual", _r("dual"))
 
 
+def _n_regions(spark, sf_dir) -> int:
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_returnflag").distinct().count()
+
+
 PARTS["adj"] = f"""adj AS (SELECT tumor_id, mutation_id, i, SUM(y) AS y FROM (
   SELECT tumor_id, u AS mutation_id, i, diff[i] * {_DUAL} AS y FROM dist, unnest(range(1, len(diff) + 1)) t(i)
   UNION ALL SELECT tumor_id, v, i, -diff[i] * {_DUAL} FROM dist, unnest(range(1, len(diff) + 1)) t(i)) GROUP BY ALL)"""
@@ -361,7 +365,7 @@ PARTS["adj"] = f"""adj AS (SELECT tumor_id, mutation_id, i, SUM(y) AS y FROM (
 
 @query((*FIT_SQL, "edge", "adj"), "SELECT tumor_id, mutation_id, CAST(i - 1 AS INT) AS region, round(y, 6) + 0.0 AS adj FROM adj")
 def edge_adjoint(spark, sf_dir):
-    return graph.adjoint(_dual(spark, sf_dir)).select("tumor_id", "mutation_id", F.posexplode("adj").alias("region", "adj")).withColumn("adj", _r("adj"))
+    return graph.adjoint(_dual(spark, sf_dir), _n_regions(spark, sf_dir)).select("tumor_id", "mutation_id", F.posexplode("adj").alias("region", "adj")).withColumn("adj", _r("adj"))
 
 
 @query((*FIT_SQL, "edge"), "SELECT tumor_id, round(2 * SUM(w * nrm), 6) AS penalty FROM dist GROUP BY tumor_id")
@@ -391,7 +395,7 @@ def dual_ball_projection(spark, sf_dir):
       CASE WHEN bool_and(count_observed) THEN -SUM(post * dq * (alt / q - nonalt / (1 - q))) ELSE 0e0 END AS g FROM upp GROUP BY tumor_id, mutation_id, sample_id) JOIN adj USING (tumor_id, mutation_id, i)) GROUP BY tumor_id""")
 def kkt_residual(spark, sf_dir):
     rows = terms(spark, sf_dir).withColumn("gradient", L.gradient()).select(*KEY, "phi", "gradient", F.lit(L.EPS).alias("lower"), F.col("phi_upper").alias("upper"))
-    out = kkt.audit(rows, _dual(spark, sf_dir))
+    out = kkt.audit(rows, _dual(spark, sf_dir), _n_regions(spark, sf_dir))
     return out.select("tumor_id", _r("stationarity").alias("stationarity"))
 
 

@@ -166,3 +166,11 @@ def test_refined_centers_do_not_get_worse(spark):
     after = refit.refined_centers(units, first, 1 / 63)
     both = first.alias("a").join(after.alias("b"), ["tumor_id", "cluster", "sample_id"]).select(F.col("a.loss").alias("x"), F.col("b.loss").alias("y")).toPandas()
     assert isinstance(both, pd.DataFrame) and (both.y <= both.x + 1e-9).all()
+
+
+def test_adjoint_forms_agree(spark):
+    from tessera.operators import graph
+
+    dual = spark.createDataFrame([("t", 1, 2, [1.0, 2.0]), ("t", 1, 3, [0.5, -1.0]), ("t", 2, 3, [4.0, 0.0])], "tumor_id string, u long, v long, dual array<double>")
+    want = {1: [1.5, 1.0], 2: [3.0, -2.0], 3: [-4.5, 1.0]}
+    assert {r.mutation_id: list(r.adj) for r in graph.adjoint(dual).collect()} == want == {r.mutation_id: list(r.adj) for r in graph.adjoint(dual, 2).collect()}
