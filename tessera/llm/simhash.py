@@ -285,7 +285,12 @@ def representatives(docs: DataFrame, radius: int = 4) -> DataFrame:
     doc_id and hash.
     """
     fps, classes = _grouped(docs, radius)
-    best = fps.join(classes, "fp").groupBy("grp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("b"))
+    return least_of_groups(docs, fps.join(classes, "fp"))
+
+
+def least_of_groups(docs: DataFrame, rows_of_groups: DataFrame) -> DataFrame:
+    """The row of ``docs`` that ``representatives`` describes, for each grp of (doc_id, th, grp)."""
+    best = rows_of_groups.groupBy("grp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("b"))
     best = best.select(F.col("b.doc_id").alias("best_id"), F.col("b.th").alias("best_th"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("`doc_id`").cast("long").alias("own_id"), F.xxhash64(whole_text("`text`")).alias("own_th"))
     kept = rows.join(best, F.col("own_id").eqNullSafe(F.col("best_id")) & (F.col("own_th") == F.col("best_th")), "left_semi").dropDuplicates(["own_id", "own_th"])
