@@ -13,6 +13,9 @@ from tessera.llm.common import whole_text, written
 
 #: A host's rules are broadcast below this many bytes (measured); above, the join shuffles.
 BROADCAST_BYTES = 8 << 20
+#: Share of a host's pages over which a line is boilerplate. On sf0.1 (some 500 pages a host) the one site line is on 8.7 % to
+#: 13.2 % of the pages of every host, repeated sentences of the prose on 4.7 % at most; on small hosts the three pages decide.
+RATIO = 0.06
 
 
 def _digest(column):
@@ -28,7 +31,7 @@ def _key(line):
     return F.btrim(line, F.lit(" \t\r"))
 
 
-def boilerplate(pages: DataFrame, ratio: float = 0.1, min_pages: int = 3, host: str = "source") -> DataFrame:
+def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = 3, host: str = "source") -> DataFrame:
     """(host, lines): digests of the host's boilerplate lines, for hosts that have some.
 
     A line is boilerplate if at least ``min_pages`` pages of its host and more than ``ratio`` of them contain it, compared
@@ -43,7 +46,7 @@ def boilerplate(pages: DataFrame, ratio: float = 0.1, min_pages: int = 3, host:
     return over.groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 
-def drop_boilerplate(pages: DataFrame, ratio: float = 0.1, min_pages: int = 3, host: str = "source", counts: bool = False) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = 3, host: str = "source", counts: bool = False) -> DataFrame:
     """``pages`` with the boilerplate lines of each page's host removed from ``text``; other columns as they are.
 
     Every row stays, repeated rows included. A page that has no other line keeps its text, and so does one that has none to

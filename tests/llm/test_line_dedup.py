@@ -28,5 +28,12 @@ def test_copies_of_one_page_count_once(spark):
     assert {r.text for r in line_dedup.drop_boilerplate(docs, ratio=0.4).collect()} == {"a\nb", "c\nd"}
 
 
+def test_a_line_on_eight_percent_of_a_large_host_goes_in_every_host(spark):
+    shares = {"a": 16, "b": 22, "c": 30}
+    rows = [(i, f"own {s} {i}\n" + ("site line" if i < n else f"other {i}") + ("\nprose" if i % 22 == 0 else ""), s) for s, n in shares.items() for i in range(200)]
+    texts = [r.text for r in line_dedup.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()]
+    assert not any("site line" in t for t in texts) and sum("prose" in t for t in texts) == 30
+
+
 def test_empty_table(spark):
     assert line_dedup.drop_boilerplate(spark.createDataFrame([], "doc_id long, text string, source string"), counts=True).collect() == []
