@@ -2,31 +2,51 @@
 
 The documents of a source are laid end to end in an order fixed by the digest of their ids and cut into blocks of equal
 bytes. A source with weight a / P has its block j (from 0) released at floor(j P / a), due at ceil((j + 1) P / a); in each
-slot the released block with the earliest deadline runs. The weights of a period add up to one, so every block runs within
-its window and after t slots each source is less than one block away from its weight times t. The schedule repeats every P
-slots; one period is computed by a fold over its slots and joined to all blocks.
+slot the released block with the earliest deadline runs. The weights add up to one, so every block runs within its window
+and after t slots each source is less than one block away from its weight times t. With a period, weights are rounded to
+whole blocks of it and its schedule repeats; without one they are exact, and all blocks are scheduled. The driver plans
+with a heap, from one row a source; the plan goes back as arrays of ``CHUNK`` slots.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
+from array import array
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm.common import whole_text, written
 
-#: Slots of a period before rounding, and the most sources: the schedule has at most their sum of rows and is broadcast.
-PERIOD, MAX_SOURCES = 1024, 8192
+#: Slots of a period before rounding.
+PERIOD = 1024
+#: Slots of a source in one row of the plan, and the slots up to which the plan is broadcast.
+CHUNK, BROADCAST_SLOTS = 4096, 1 << 23
 #: Rows that one window of the running sum holds, about.
 WINDOW_ROWS = 4096
 
-#: One slot of the fold: among released blocks the least deadline, then the first source.
-_FOLD = """aggregate(sequence(0L, p - 1), named_struct('c', transform(a, x -> 0L), 'o', cast(array() AS array<int>)),
-  (st, t) -> transform(array(cast(array_min(transform(a, (x, i) ->
-      if(st.c[i] < x AND (st.c[i] * p) div x <= t, (((st.c[i] + 1) * p + x - 1) div x) * size(a) + i, NULL))) % size(a) AS int)),
-    k -> named_struct('c', transform(st.c, (y, i) -> if(i = k, y + 1, y)), 'o', concat(st.o, array(k))))[0]).o"""
+
+def earliest_deadline_first(shares: list[tuple[int, int]], p: int) -> list[array]:
+    """Slots of the blocks of each source, from (a, number of blocks) in the order that breaks ties; the a sum up to ``p``."""
+    out = [array("q") for _ in shares]
+    waiting = [(0, i) for i, (_, n) in enumerate(shares) if n > 0]  # release and source of its next block; sorted, so a heap
+    ready: list[tuple[int, int]] = []  # deadline and source
+    t = 0
+    while waiting or ready:
+        if not ready:
+            t = max(t, waiting[0][0])
+        while waiting and waiting[0][0] <= t:
+            i = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, (-(-(len(out[i]) + 1) * p // shares[i][0]), i))
+        i = heapq.heappop(ready)[1]
+        out[i].append(t)
+        if len(out[i]) < shares[i][1]:
+            heapq.heappush(waiting, (len(out[i]) * p // shares[i][0], i))
+        t += 1
+    return out
 
 
 def quotas(sources: DataFrame, period: int = PERIOD) -> DataFrame:
@@ -37,15 +57,26 @@ def quotas(sources: DataFrame, period: int = PERIOD) -> DataFrame:
     return share.withColumn("p", F.lit(share.agg(F.sum("a")).first()[0] or 0).cast("long"))
 
 
+def _plan(spark: SparkSession, shares: list[tuple[str, int, int]], p: int) -> DataFrame:
+    """(source, part, ats): slots of a source's blocks from part * CHUNK on, from (source, a, number of blocks)."""
+    shares = sorted(shares, key=lambda x: x[0].encode())
+
+    def rows() -> Iterator[tuple[str, int, list[int]]]:
+        for (name, _, _), ats in zip(shares, earliest_deadline_first([x[1:] for x in shares], p), strict=True):
+            for part in range(-(-len(ats) // CHUNK)):
+                yield name, part, ats[part * CHUNK : (part + 1) * CHUNK].tolist()
+
+    return written(spark.createDataFrame(list(rows()), "source string, part long, ats array<long>"), "mixing-plan")
+
+
 def schedule(quota: DataFrame) -> DataFrame:
     """(source, i, at): slot within the period of the source's i-th block of it."""
-    row = quota.agg(F.array_sort(F.collect_list(F.struct("source", "a"))).alias("s"), F.max("p").alias("p"))
-    row = row.select("p", F.col("s.source").alias("names"), F.col("s.a").alias("a")).filter("size(a) > 0")
-    slots = row.select("names", F.posexplode(F.expr(_FOLD)).alias("at", "k")).select(F.expr("names[k]").alias("source"), F.col("at").cast("long").alias("at"))
-    return slots.select("source", "at", (F.row_number().over(Window.partitionBy("source").orderBy("at")) - 1).cast("long").alias("i"))
+    rows = quota.collect()  # one a source
+    plan = _plan(quota.sparkSession, [(r.source, r.a, r.a) for r in rows], rows[0].p if rows else 0)
+    return plan.select("source", F.col("part"), F.posexplode("ats").alias("k", "at")).select("source", "at", (F.col("part") * CHUNK + F.col("k")).alias("i"))
 
 
-def _scheduled(docs: DataFrame, block_bytes: int, weights: dict[str, int] | None, source: str) -> DataFrame:
+def _scheduled(docs: DataFrame, block_bytes: int, weights: dict[str, int] | None, source: str, period: int | None) -> DataFrame:
     """row (struct of all columns), source, md (order in the source), block, release, deadline, slot."""
     name = F.coalesce(F.col(f"`{source}`").cast("string"), F.lit(""))
     text = whole_text("`text`")
@@ -54,15 +85,22 @@ def _scheduled(docs: DataFrame, block_bytes: int, weights: dict[str, int] | None
         F.md5(F.coalesce(F.col("`doc_id`").cast("string"), F.lit("")).cast("binary")).alias("md"), F.md5(text.cast("binary")).alias("mt"),
     )
     sizes = written(rows.groupBy("source").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n")), "source-sizes")
-    n_sources, n_rows = sizes.agg(F.count("*"), F.sum("n")).first()
-    if n_sources > MAX_SOURCES:
-        raise ValueError(f"{n_sources} sources; one period schedules at most {MAX_SOURCES}")
+    n_rows = sizes.agg(F.sum("n")).first()[0]
     if weights is None:
         target = sizes.select("source", F.floor(F.sqrt("bytes")).cast("long").alias("weight"))
     else:
         given = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
         target = sizes.select("source", F.coalesce(given[F.col("source")], F.lit(0)).cast("long").alias("weight"))
-    quota = quotas(target)
+    if period:
+        quota, cycle = quotas(target, period), F.col("a")
+    else:
+        quota, cycle = target.select("source", F.greatest(F.lit(1), "weight").cast("long").alias("a")), None
+        quota = quota.withColumn("p", F.lit(quota.agg(F.sum("a")).first()[0] or 0).cast("long"))
+    # one row a source; the last document may start where the last block ends
+    shares = [(r.source, r.a, r.a if period else r.bytes // int(block_bytes) + 1, r.p) for r in quota.join(sizes, "source").collect()]
+    plan = _plan(docs.sparkSession, [x[:3] for x in shares], shares[0][3] if shares else 0).select(F.col("source").alias("ss"), F.col("part").alias("sp"), "ats")
+    if sum(x[2] for x in shares) <= BROADCAST_SLOTS:
+        plan = F.broadcast(plan)
     digits = max(0, math.ceil(math.log(max(1, (n_rows or 0) / WINDOW_ROWS), 16)))  # hex digits of md that tell the windows of a source apart
     rows = rows.withColumn("bucket", F.substring("md", 1, digits))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -71,27 +109,29 @@ def _scheduled(docs: DataFrame, block_bytes: int, weights: dict[str, int] | None
     rows = rows.withColumn("run", F.coalesce(F.sum("bytes").over(within), F.lit(0))).join(offsets, ["source", "bucket"])
     rows = rows.withColumn("block", F.expr(f"(offset + run) div {int(block_bytes)}L"))
     rows = rows.join(F.broadcast(quota.withColumnRenamed("source", "qs")), F.col("source") == F.col("qs"))
-    rows = rows.withColumn("i", F.col("block") % F.col("a")).join(F.broadcast(schedule(quota).select(F.col("source").alias("ss"), F.col("i").alias("si"), "at")), (F.col("source") == F.col("ss")) & (F.col("i") == F.col("si")))
+    rows = rows.withColumn("i", F.col("block") % cycle if period else F.col("block"))
+    rows = rows.join(plan, (F.col("source") == F.col("ss")) & (F.expr(f"i div {CHUNK}") == F.col("sp"))).withColumn("at", F.col("ats")[(F.col("i") % CHUNK).cast("int")])
     return rows.select(
         "row", "source", "md", "mt", "block", F.expr("(block * p) div a").alias("release"), F.expr("((block + 1) * p + a - 1) div a").alias("deadline"),
-        F.expr("(block div a) * p + at").alias("slot"),
+        F.expr("(block div a) * p + at" if period else "at").alias("slot"),
     )
 
 
-def slots(docs: DataFrame, block_bytes: int = 32768, weights: dict[str, int] | None = None, source: str = "source") -> DataFrame:
+def slots(docs: DataFrame, block_bytes: int = 32768, weights: dict[str, int] | None = None, source: str = "source", period: int | None = PERIOD) -> DataFrame:
     """(doc_id, source, block, release, deadline, slot) for every row of ``docs``; none is dropped or repeated.
 
-    A document's block is the one that it starts in. ``weights`` are whole target weights by source (missing: the least,
-    one block a period); by default the square root of a source's bytes, which lies between its share and equal shares.
-    After a source's last block its slots stay empty, so the order by slot goes on with the others in their proportion. A
+    A document's block is the one that it starts in. ``weights`` are whole target weights by source (missing or 0: the least,
+    one block a period, or weight 1 where ``period`` is None and weights are exact); by default the square root of a source's bytes, which lies between its share and equal shares.
+    After a source's last block the others go on in their windows: slots of a period stay empty, exact ones go to any released
+    block. A
     null source has the empty name, null texts no bytes; rows with equal ids come in the order of their texts' digests.
     """
-    return _scheduled(docs, block_bytes, weights, source).select(F.col("row.doc_id").alias("doc_id"), "source", "block", "release", "deadline", "slot")
+    return _scheduled(docs, block_bytes, weights, source, period).select(F.col("row.doc_id").alias("doc_id"), "source", "block", "release", "deadline", "slot")
 
 
-def mixed(docs: DataFrame, block_bytes: int = 32768, weights: dict[str, int] | None = None, source: str = "source") -> DataFrame:
-    """All rows of ``docs``, their columns unchanged, dealt by range and sorted in the order of ``slots``."""
-    rows = _scheduled(docs, block_bytes, weights, source)
+def mixed(docs: DataFrame, block_bytes: int = 32768, weights: dict[str, int] | None = None, source: str = "source", period: int | None = None) -> DataFrame:
+    """All rows of ``docs``, their columns unchanged, dealt by range and sorted in the order of ``slots``; weights are exact."""
+    rows = _scheduled(docs, block_bytes, weights, source, period)
     order = ["slot", "md", "mt"]
     return rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 

@@ -43,6 +43,35 @@ def test_every_row_once_in_slot_order(spark):
     assert all(len(x) == 1 for x in by_slot.values())
 
 
+def test_exact_weights_over_many_periods():
+    weights = [1, 9999, 3333, 250, 17]
+    total = sum(weights)
+    n = [w * 5 for w in weights]
+    got = mixing.earliest_deadline_first(list(zip(weights, n, strict=True)), total)
+    assert sorted(t for x in got for t in x) == list(range(5 * total))
+    for w, x in zip(weights, got, strict=True):
+        assert all(j * total // w <= t < -(-(j + 1) * total // w) for j, t in enumerate(x))
+
+
+def test_small_source_of_many_blocks_keeps_its_exact_share(spark):
+    rows = [(i, "x" * 64, "big" if i % 50 else "small") for i in range(10_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.slots(docs, block_bytes=64, weights={"small": 1, "big": 9999}, period=None).collect()
+    assert len(got) == len(rows) and len({r.slot for r in got}) == len(rows)
+    for r in got:
+        a = 1 if r.source == "small" else 9999
+        assert (r.release, r.deadline) == (r.block * 10_000 // a, -(-(r.block + 1) * 10_000 // a)) and r.release <= r.slot < r.deadline
+    order = {r.doc_id: r.slot for r in got}
+    slots_in_order = [order[r.doc_id] for r in mixing.mixed(docs, block_bytes=64, weights={"small": 1, "big": 9999}).collect()]
+    assert slots_in_order == sorted(slots_in_order)
+
+
+def test_more_sources_than_a_period_has_slots(spark):
+    docs = spark.createDataFrame([(i, "x", f"s{i}") for i in range(9000)], "doc_id long, text string, source string")
+    for period in (mixing.PERIOD, None):
+        assert len({r.slot for r in mixing.slots(docs, period=period).collect()}) == 9000
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.slots(empty).collect() == [] and mixing.mixed(empty).collect() == []
