@@ -136,6 +136,17 @@ def mixed(docs: DataFrame, block_bytes: int = 32768, weights: dict[str, int] | N
     return rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
+def placed(docs: DataFrame, block_bytes: int = 32768, weights: dict[str, int] | None = None, source: str = "source") -> DataFrame:
+    """(doc_id, text_sha256, source, block, slot, position) for every row of ``docs``: the order of ``mixed`` as columns.
+
+    position counts from 0 within a slot, which is one block; (slot, position) is unique.
+    """
+    rows = _scheduled(docs, block_bytes, weights, source, None)
+    rows = rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), F.sha2(whole_text("row.text").cast("binary"), 256).alias("text_sha256"), "source", "block", "slot", "md", "mt")
+    place = F.row_number().over(Window.partitionBy("slot").orderBy("md", "mt")) - 1
+    return rows.select("doc_id", "text_sha256", "source", "block", "slot", place.cast("long").alias("position"))
+
+
 #: The rows of ``slots`` in DuckDB, for blocks of 32768 bytes.
 SQL = """
 WITH RECURSIVE d AS (
