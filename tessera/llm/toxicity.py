@@ -21,8 +21,11 @@ from tessera.llm.common import held_out, whole_text, written
 
 #: Labelled rows that lexicon and trees are fitted on at most; chosen by digest of the id, so evenly over the table.
 FIT_ROWS = 20_000
-#: Lexicon entries at most; the toxic texts that an entry must be in, and their share of all; its least log odds.
-LEXICON, MIN_TEXTS, MIN_SHARE, MIN_WEIGHT = 1024, 3, 0.02, 1.2
+#: Lexicon entries at most; the toxic texts that an entry must be in; its least log odds.
+LEXICON, MIN_TEXTS, MIN_WEIGHT = 4096, 3, 1.2
+#: An entry in a lesser share of the toxic texts, as those of a minority language are, must be in toxic texts more often than
+#: a word without meaning is with probability exp(-EVIDENCE) (Chernoff bound).
+COMMON_SHARE, EVIDENCE = 0.02, 8.0
 #: Lengths of the word beginnings that are tried as entries besides whole words.
 STEMS = (4, 5, 6, 7)
 #: Parts of the labelled rows, for lexica and trees that haven't seen a part.
@@ -235,7 +238,10 @@ def learn_lexicons(sample: DataFrame, size: int = LEXICON) -> list[dict[str, flo
         clean, toxic = (sum(F.col(f"{kind}{k}") for k in used) for kind in ("clean", "toxic"))
         neg, pos = (float(sum(texts.get((k, y), 0) for k in used)) for y in (0, 1))
         odds = F.log((toxic + 0.1) / (pos + 0.2)) - F.log((clean + 0.1) / (neg + 0.2))
-        best = counts.filter(toxic >= max(MIN_TEXTS, MIN_SHARE * pos)).select("entry", F.round(odds, 6).alias("weight"), F.round(toxic * odds, 6).alias("gain"))
+        share = toxic / (toxic + clean)
+        rest = F.when(clean > 0, clean * F.log((1 - share) / F.lit(neg / (pos + neg) if neg else 1.0))).otherwise(0.0)
+        evidence = toxic * F.log(share / F.lit(pos / (pos + neg) if pos else 1.0)) + rest
+        best = counts.filter((toxic >= MIN_TEXTS) & ((toxic >= COMMON_SHARE * pos) | (evidence >= EVIDENCE))).select("entry", F.round(odds, 6).alias("weight"), F.round(toxic * odds, 6).alias("gain"))
         best = best.filter(F.col("weight") > MIN_WEIGHT).orderBy(F.col("gain").desc(), "entry").limit(size)
         out.append({r.entry: r.weight for r in best.collect()})
     return out

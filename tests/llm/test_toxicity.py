@@ -61,3 +61,9 @@ def test_labels_of_held_out_rows_change_nothing(spark):
     turned = [(i, 1 - t if zlib.crc32(str(i).encode()) % 5 == 0 else t) for i, t in true]
     a, b = ([tuple(r) for r in toxicity.scored(docs, toxicity.fit(docs, spark.createDataFrame(x, "doc_id long, toxic int"))).collect()] for x in (true, turned))
     assert a == b and all(r[3] == (r[0] % 4 == 0) for r in a)
+
+
+def test_rare_words_of_a_minority_language_are_learned(spark):
+    rows = [(i, int(i % 5 == 0), i % 4, "sun moon" + (f" odd{i % 700}" if i % 5 else " malvado" if i % 500 == 0 else " vile")) for i in range(5000)]
+    full = toxicity.learn_lexicons(spark.createDataFrame(rows, "doc_id long, toxic int, fold int, text string"))[0]
+    assert {"vile", "malvado"} <= set(full) and not {"sun", "moon"} & set(full)
