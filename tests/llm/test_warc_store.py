@@ -49,19 +49,37 @@ def test_payloads_are_stored_once_and_records_parse(spark):
     for r in warc_store.records(spark, path).collect():
         fields, block = warc_store.parse_record(bytes(r.record))
         ids.add(fields["warc-record-id"])
-        assert len(block) == int(fields["content-length"]) and (fields["warc-type"] == "revisit") == ("warc-refers-to" in fields)
+        assert len(block) == (0 if fields["warc-type"] == "revisit" else int(fields["x-payload-length"]))
+        assert (fields["warc-type"] == "revisit") == ("warc-refers-to" in fields)
     assert len(ids) == len(rows())
+    whole = b"".join(bytes(r.warc) for r in warc_store.warc_bytes(spark, path).orderBy("part", "seq").collect())
+    assert sum(len(r.record) for r in warc_store.records(spark, path).collect()) == len(whole) and whole.count(b"WARC/1.1\r\n") == len(ids)
+    wanted = spark.createDataFrame([(1,), (5,)], "page_id long")
+    got = warc_store.payload_of(spark, path, wanted).collect()
+    assert sorted((r.page_id, bytes(r.payload)) for r in got) == [(1, b"x" * 50), (5, b"only"), (5, b"only"), (5, b"only")]
+    assert not spark.catalog.listTables()
+
+
+def test_many_copies_of_one_row_and_long_pages(spark):
+    rows = [(1, "u", "copy")] * 9000 + [(2, "v", "y" * 3_000_000), (3, "v", "y" * 3_000_000)]
+    got = warc_store.archived(spark.createDataFrame(rows, "page_id long, url string, html string")).groupBy("page_id", "record_type", "refers_to", "payload_bytes").count().collect()
+    want = [(1, "response", None, 4, 1), (1, "revisit", 1, 4, 8999), (2, "revisit", 3, 3_000_000, 1), (3, "response", None, 3_000_000, 1)]
+    assert sorted(map(tuple, got)) == want
 
 
 def test_damage_is_noticed(spark):
     path = new_path(spark, "warc")
     warc_store.write_archive(spark.createDataFrame([(1, "u", "abc")], "page_id long, url string, html string"), path)
     digest = hashlib.sha256(b"abc").hexdigest()
-    spark.createDataFrame([(digest, bytearray(b"abd"))], "sha256 string, payload binary").write.mode("overwrite").parquet(f"{path}/payloads")
+    name, wrong = f"damage_{abs(hash(path))}", spark.createDataFrame([(digest, bytearray(b"abd"))], "sha256 string, payload binary")
+    wrong.write.mode("overwrite").bucketBy(4, "sha256").option("path", f"{path}/payloads").saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")
     with pytest.raises(Exception, match="does not have digest"):
         warc_store.index(spark, path).collect()
     with pytest.raises(ValueError):
         warc_store.parse_record(b"WARC/1.1\r\nContent-Length: 3\r\n\r\nab\r\n\r\n")
+    with pytest.raises(ValueError):
+        warc_store.parse_record(b"WARC/1.1\r\nContent-Length: 2\r\n\r\nab\r\n\r\n")
 
 
 def test_empty_table(spark):
