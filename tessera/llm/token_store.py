@@ -1,14 +1,15 @@
 """Token ids in wavelet matrices: one for each shard, compressed as one file.
 
 A wavelet matrix holds the ids as one bit plane for each binary digit, each ordered by the digits above it. With ranks at
-superblocks it gives the id at a position, the count of an id in a range, and the position of its k-th occurrence.
+superblocks it gives the id at a position, the count of an id in a range, and the position of its k-th occurrence. Planes are
+compressed in blocks and ranks lie beside them, so these lookups inflate only the blocks that they touch.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -26,6 +27,8 @@ from tessera.llm.common import new_path, whole_text
 SHARD_TOKENS = 1 << 20
 #: Bits between two stored ranks.
 SUPER = 512
+#: Bytes of a bit plane that are compressed together; a multiple of a superblock's.
+BLOCK = 1 << 14
 #: The id that ends every document.
 END = 1
 #: Chunks of text that a worker's memo holds, about, before it is emptied.
@@ -34,23 +37,53 @@ MEMO = 1_000_000
 #: The byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = {b: b if b in _PLAIN else 256 + sum(x not in _PLAIN for x in range(b)) for b in range(256)}
-_MAGIC = b"TWM1"
+#: Letters from A to U+024F, all assigned and composed since Unicode 5, then perhaps one mark.
+_LATIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,;:]?)")
+_MAGIC = b"TWM2"
 _COUNT = np.array([bin(x).count("1") for x in range(256)], dtype=np.uint16)
 
 
-class WaveletMatrix:
-    """Sequence of unsigned integers below 2 ** 32."""
+def _pack(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class _Plane:
+    """One bit plane, held as compressed blocks of ``BLOCK`` bytes that are inflated when a lookup first touches them."""
 
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int]):
-        self.n, self.planes, self.zeros = n, planes, zeros
-        self._ranks: list[np.ndarray] | None = None
+    __slots__ = ("_blocks", "_frames", "size")
+
+    def __init__(self, size: int, frames: list, blocks: dict[int, np.ndarray] | None = None):
+        self.size, self._frames, self._blocks = size, frames, blocks if blocks is not None else {}
+
+    @classmethod
+    def of(cls, bits: np.ndarray) -> _Plane:
+        return cls(len(bits), [None] * -(-len(bits) // BLOCK), {k: bits[k * BLOCK : (k + 1) * BLOCK] for k in range(-(-len(bits) // BLOCK))})
+
+    def block(self, k: int) -> np.ndarray:
+        if k not in self._blocks:
+            self._blocks[k] = np.frombuffer(zstandard.ZstdDecompressor().decompress(self._frames[k]), dtype=np.uint8)
+        return self._blocks[k]
+
+    def byte(self, i: int) -> int:
+        return int(self.block(i // BLOCK)[i % BLOCK])
+
+    def span(self, lo: int, hi: int) -> np.ndarray:
+        """Bytes [lo, hi), which lie in one block since superblocks do."""
+        return self.block(lo // BLOCK)[lo % BLOCK : lo % BLOCK + hi - lo] if lo < min(hi, self.size) else np.empty(0, dtype=np.uint8)
+
+    def whole(self) -> np.ndarray:
+        return np.concatenate([self.block(k) for k in range(len(self._frames))]) if self._frames else np.empty(0, dtype=np.uint8)
 
     @property
-    def ranks(self) -> list[np.ndarray]:
-        """Ones before each superblock, for every plane; read from the file or counted at first use."""
-        if self._ranks is None:
-            self._ranks = [self._count(p) for p in self.planes]
-        return self._ranks
+    def inflated(self) -> int:
+        return len(self._blocks)
+
+
+class WaveletMatrix:
+    """Sequence of unsigned integers below 2 ** 32."""
+
+    def __init__(self, n: int, planes: list[_Plane], zeros: list[int], ranks: list[np.ndarray]):
+        self.n, self.planes, self.zeros, self.ranks = n, planes, zeros, ranks  # ranks: ones before each superblock, by plane
 
     @staticmethod
     def _count(plane: np.ndarray) -> np.ndarray:
@@ -63,40 +96,51 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
         top = int(ids.max(initial=0))
         now = ids.astype(np.uint16 if top < 1 << 16 else np.uint32)
-        planes, zeros = [], []
+        planes, zeros, ranks = [], [], []
         for level in range(max(1, top.bit_length()) - 1, -1, -1):
             ones = (now & now.dtype.type(1 << level)) != 0
-            planes.append(np.packbits(ones, bitorder="little"))
+            bits = np.packbits(ones, bitorder="little")
+            planes.append(_Plane.of(bits))
+            ranks.append(cls._count(bits))
             low, high = now[~ones], now[ones]
             zeros.append(len(low))
             now = np.concatenate((low, high))
-        return cls(len(ids), planes, zeros)
+        return cls(len(ids), planes, zeros, ranks)
 
     def to_bytes(self) -> bytes:
+        """Head, zeros, ranks, lengths of the compressed blocks, then these: a lookup inflates the blocks that it needs."""
+        squeeze = zstandard.ZstdCompressor(level=1, write_checksum=True).compress
+        frames = [squeeze(p.block(k).tobytes()) for p in self.planes for k in range(-(-p.size // BLOCK))]
         head = _MAGIC + struct.pack("<QB", self.n, len(self.planes)) + struct.pack(f"<{len(self.zeros)}Q", *self.zeros)
-        body = b"".join(p.tobytes() for p in self.planes) + b"".join(r.astype("<u4").tobytes() for r in self.ranks)
-        return zstandard.ZstdCompressor(level=1, write_checksum=True).compress(head + body)
+        ranks = b"".join(r.astype("<u4").tobytes() for r in self.ranks)
+        return b"".join((head, ranks, struct.pack(f"<{len(frames)}I", *map(len, frames)), *frames))
 
     @classmethod
     def from_bytes(cls, data: bytes) -> WaveletMatrix:
-        raw = zstandard.ZstdDecompressor().decompress(data)
-        if raw[:4] != _MAGIC:
+        raw = memoryview(data)
+        if bytes(raw[:4]) != _MAGIC:
             raise ValueError("no wavelet matrix")
         n, levels = struct.unpack_from("<QB", raw, 4)
-        at = 13 + 8 * levels
-        zeros, size = list(struct.unpack_from(f"<{levels}Q", raw, 13)), -(-n // 8)
-        planes = [np.frombuffer(raw, dtype=np.uint8, count=size, offset=at + k * size) for k in range(levels)]
-        out, at = cls(n, planes, zeros), at + levels * size
-        supers = len(cls._count(planes[0]))
-        out._ranks = [np.frombuffer(raw, dtype="<u4", count=supers, offset=at + k * supers * 4) for k in range(levels)]
-        return out
+        zeros, size, at = list(struct.unpack_from(f"<{levels}Q", raw, 13)), -(-n // 8), 13 + 8 * levels
+        supers, blocks = -(-max(1, size) // (SUPER // 8)) + 1, -(-size // BLOCK)
+        ranks = [np.frombuffer(raw, dtype="<u4", count=supers, offset=at + k * supers * 4) for k in range(levels)]
+        at += levels * supers * 4
+        lengths = struct.unpack_from(f"<{levels * blocks}I", raw, at)
+        at += 4 * levels * blocks
+        frames = []
+        for length in lengths:
+            frames.append(raw[at : at + length])
+            at += length
+        if at != len(raw):
+            raise ValueError("wavelet matrix is cut off")
+        return cls(n, [_Plane(size, frames[k * blocks : (k + 1) * blocks]) for k in range(levels)], zeros, ranks)
 
     def to_array(self) -> np.ndarray:
         """All ids, from the last plane up: each plane says which of the next one's two parts an element comes from."""
         levels = len(self.planes)
         now = np.zeros(self.n, dtype=np.uint16 if levels <= 16 else np.uint32)
         for k in range(levels - 1, -1, -1):
-            ones = np.unpackbits(self.planes[k], count=self.n, bitorder="little").view(bool)
+            ones = np.unpackbits(self.planes[k].whole(), count=self.n, bitorder="little").view(bool)
             up = np.empty_like(now)
             up[~ones] = now[: self.zeros[k]]
             up[ones] = now[self.zeros[k] :] | now.dtype.type(1 << (levels - 1 - k))
@@ -106,16 +150,15 @@ class WaveletMatrix:
     def _ones(self, k: int, i: int) -> int:
         """Ones of plane k before position i."""
         block = i // SUPER
-        part = self.planes[k][block * (SUPER // 8) : i // 8]
-        ones = int(self.ranks[k][block]) + int(_COUNT[part].sum())
-        return ones + (int(self.planes[k][i // 8]) & ((1 << i % 8) - 1)).bit_count() if i % 8 else ones
+        ones = int(self.ranks[k][block]) + int(_COUNT[self.planes[k].span(block * (SUPER // 8), i // 8)].sum())
+        return ones + (self.planes[k].byte(i // 8) & ((1 << i % 8) - 1)).bit_count() if i % 8 else ones
 
     def access(self, i: int) -> int:
         if not 0 <= i < self.n:
             raise IndexError(i)
         out = 0
         for k, z in enumerate(self.zeros):
-            bit = int(self.planes[k][i // 8]) >> i % 8 & 1
+            bit = self.planes[k].byte(i // 8) >> i % 8 & 1
             out = out << 1 | bit
             i = z + self._ones(k, i) if bit else i - self._ones(k, i)
         return out
@@ -150,7 +193,7 @@ class WaveletMatrix:
         ranks = self.ranks[k].astype(np.int64)
         before = ranks if bit else np.arange(len(ranks), dtype=np.int64) * SUPER - ranks
         block = int(np.searchsorted(before, nth, "right")) - 1
-        bits = np.unpackbits(self.planes[k][block * (SUPER // 8) : (block + 1) * (SUPER // 8)], bitorder="little")
+        bits = np.unpackbits(self.planes[k].span(block * (SUPER // 8), (block + 1) * (SUPER // 8)), bitorder="little")
         return block * SUPER + int(np.flatnonzero(bits == bit)[nth - before[block]])
 
     def occurrences(self, value: int) -> list[int]:
@@ -159,7 +202,7 @@ class WaveletMatrix:
 
 class Encoder:
     """Ids of whole texts by a tokenizers file that drops white space: its matches never hold any, so the chunks between white
-    space are encoded on their own, by the library, and remembered."""
+    space are encoded on their own, by the library, and remembered. What a chunk gives never depends on the chunks before it."""
 
     def __init__(self, path: str, memo: int = MEMO):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -170,41 +213,36 @@ class Encoder:
         self.tokenize = self.library.model.tokenize
 
     def _ask(self, texts: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _word(self, word: str) -> bytes | None:
-        """Ids of letters only, by the library's model: one match, which the model takes as its bytes' characters. None if the
-        library's normalizer could change it into something else than its lower-case letters."""
-        low = word.lower()
-        if not low.isascii():
-            if not (low.isalpha() and unicodedata.is_normalized("NFC", word) and unicodedata.is_normalized("NFC", low)) or "\u03a3" in word:
-                return None
-            low = low.encode().decode("latin-1").translate(_BYTE_CHARS)
-        ids = [t.id for t in self.tokenize(low)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return [_pack(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, chunks: set[str]) -> None:
-        """Remembers chunks: letters by the model, letters with one mark after them as two matches, others by the library."""
-        memo, others, later = self.memo, [], []
+        """Remembers chunks. Those of Latin letters, perhaps with one mark behind them, are one match of the pattern and one
+        more, whatever the Unicode version, and no normal form changes them: their lower-case bytes go straight to the
+        library's model. All other chunks go through the library as they are."""
+        memo, tokenize, others, words = self.memo, self.tokenize, [], {}
         for c in chunks:
-            word = c[:-1] if c[-1] in ".,;:" else c
-            if not word.isalpha():
+            m = _LATIN.fullmatch(c)
+            if not m:
                 others.append(c)
                 continue
-            got = memo.get(word)
+            word, mark = m.groups()
+            got = words.get(word)
             if got is None:
-                got = self._word(word)
-                if got is None:
-                    others.append(c)
-                    continue
-                memo[word] = got
-            if word is not c and len(word) < len(c):
-                later.append((c, got, c[-1]))
-        marks = {m for _, _, m in later}.difference(memo)
-        others += marks
+                low = word.lower()
+                if not low.isascii():
+                    low = low.encode().decode("latin-1").translate(_BYTE_CHARS)
+                got = words[word] = _pack([t.id for t in tokenize(low)])
+            if mark:
+                memo[c] = got + (self.marks.get(mark) or self._mark(mark))
+            else:
+                memo[c] = got
         memo.update(zip(others, self._ask(others), strict=True))
-        for c, got, mark in later:
-            memo[c] = got + memo[mark]
+
+    marks: dict[str, bytes] = {}
+
+    def _mark(self, mark: str) -> bytes:
+        self.marks = self.marks | {mark: self._ask([mark])[0]}
+        return self.marks[mark]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """As the library encodes each whole text, as little-endian unsigned 32-bit integers.
@@ -323,6 +361,22 @@ def index(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("doc_id", (F.col("offset") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def occurrences(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
+    """(id, doc_id, at): every occurrence of ``ids`` and its place in its document, by select queries on the shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for docs_, lengths, matrix in zip(b.column("doc_ids").to_pylist(), b.column("lengths").to_pylist(), b.column("matrix"), strict=True):
+                w, ends = WaveletMatrix.from_bytes(matrix.as_buffer()), np.cumsum(lengths)
+                for i in ids:
+                    found = np.array(w.occurrences(i), dtype=np.int64)
+                    which = np.searchsorted(ends, found, "right")
+                    starts = (ends - lengths)[which]
+                    yield pa.record_batch([pa.array([i] * len(found), pa.int64()), pa.array([docs_[k] for k in which], pa.int64()), pa.array(found - starts, pa.int64())], names=["id", "doc_id", "at"])
+
+    return read_shards(spark, path).select("doc_ids", "lengths", "matrix").mapInArrow(run, "id long, doc_id long, at long")
+
+
 def count_ids(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
     """(id, n): occurrences in all shards, by rank queries."""
 
@@ -336,8 +390,11 @@ def count_ids(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
 
 
 def stored(docs: DataFrame, tokenizer_path: str, end_id: int = END, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """Writes shards of ``docs`` in the shared folder and reads their index back. Repeated rows come out as often as they come
-    in; an empty table gives no rows; other columns are not read."""
+    """Writes shards of ``docs`` in the shared folder and reads their index back.
+
+    Null texts are empty, and every document has its end id; rows of equal doc_id, null first, come in the order of their
+    texts' hashes, and equal rows, which come out as often as they come in, side by side. An empty table gives no rows; other
+    columns, whatever their names, are not read. A very long text has a shard of its own and costs memory by its length."""
     path = new_path(docs.sparkSession, "token-shards")
     write_shards(docs, tokenizer_path, path, end_id, shard_tokens)
     return index(docs.sparkSession, path)

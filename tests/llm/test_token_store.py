@@ -40,6 +40,31 @@ def test_encodes_as_the_library():
     assert own.encode_all([]) == []
 
 
+def test_no_chunk_depends_on_those_before_it():
+    library, rng = Tokenizer.from_file(PATH), random.Random(9)
+    want = lambda t: library.encode(t, add_special_tokens=False).ids
+    for letter in "\u0958\u0f4d\ufb1d\u0344\u1e9e\u0130\u01c5\u00e9\u212b":
+        for texts in ([letter, f"{letter},", f"a{letter}.", f"{letter}a"], [f"{letter},", letter, f"{letter}a", f"a{letter}."]):
+            own = token_store.Encoder(PATH)
+            for t in texts:
+                got = own.encode_all([t])[0]
+                assert list(struct.unpack(f"<{len(got) // 4}I", got)) == want(t), ascii(texts)
+    own = token_store.Encoder(PATH)  # one memo for all
+    assigned = [c for c in map(chr, range(0x20, 0x20000)) if not 0xD800 <= ord(c) < 0xE000]
+    texts = ["".join(rng.choice(assigned) if rng.random() < 0.5 else rng.choice("aB .,'1") for _ in range(rng.randint(1, 6))) for _ in range(20000)]
+    texts += [f"{c}{m}" for c in map(chr, range(0xC0, 0x250)) for m in ("", ".", "a,")]
+    for t, got in zip(texts, own.encode_all(texts), strict=True):
+        assert list(struct.unpack(f"<{len(got) // 4}I", got)) == want(t), ascii(t)
+
+
+def test_lookups_inflate_what_they_touch():
+    ids = np.random.default_rng(3).integers(0, 1 << 16, 1 << 20).astype(np.uint32)
+    w = token_store.WaveletMatrix.from_bytes(token_store.WaveletMatrix.build(ids).to_bytes())
+    assert w.access(777_777) == ids[777_777] and sum(p.inflated for p in w.planes) <= 2 * 16
+    with pytest.raises(ValueError):
+        token_store.WaveletMatrix.from_bytes(token_store.WaveletMatrix.build(ids).to_bytes()[:-1])
+
+
 def test_rows_and_counts(spark):
     library = Tokenizer.from_file(PATH)
     rng = random.Random(1)
@@ -57,4 +82,7 @@ def test_rows_and_counts(spark):
     assert got == want and token_store.read_shards(spark, path).count() > 5
     some = [1, library.encode("moon").ids[0], 40000]
     assert {r.id: r.n for r in token_store.count_ids(spark, path, some).collect()} == {i: every.count(i) for i in some}
+    moon = library.encode("moon").ids[0]
+    found = {(r.doc_id, r.at) for r in token_store.occurrences(spark, path, [moon]).collect()}
+    assert found == {(d, k) for d, t in rows for k, i in enumerate(library.encode(t or "", add_special_tokens=False).ids) if i == moon}
     assert token_store.stored(docs.limit(0), PATH).collect() == []
