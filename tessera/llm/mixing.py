@@ -1,11 +1,16 @@
 """Mixing sources to target weights by Pfair scheduling, with DataFrame functions only.
 
-The documents of a source are laid end to end in an order fixed by the digest of their ids and cut into blocks of equal
-bytes. A source with weight a / P has its block j (from 0) released at floor(j P / a), due at ceil((j + 1) P / a); in each
-slot the released block with the earliest deadline runs. The weights add up to one, so every block runs within its window
-and after t slots each source is less than one block away from its weight times t. With a period, weights are rounded to
-whole blocks of it and its schedule repeats; without one they are exact, and all blocks are scheduled. The driver plans
-with a heap, from one row a source; the plan goes back as arrays of ``CHUNK`` slots.
+The documents of a source are laid end to end in an order fixed by a digest of their ids and texts and cut into blocks of equal
+bytes. With weights a that add up to P, block j (from 0) of a source is released at floor(j P / a) and due at
+ceil((j + 1) P / a); in each slot the released block with the earliest deadline runs (ties: by source). As the shares a / P
+add up to one, every block runs within its window, so after t slots each source has run less than one block more or less
+than its target a t / P. Weights are exact whole numbers; nothing is rounded. After a source's last block the others stay in their
+windows, and a slot is empty if no block is released.
+
+The driver plans with a heap: it sees one row a source and keeps 8 bytes for each planned block. At a multiple of P every
+released block has run, so a period's schedule depends only on the number of blocks that each source has in it: periods of
+equal numbers are planned once, in at most two ways for each source that ends. The plan goes back as arrays of ``CHUNK``
+slots. All rows are placed by joins and windows.
 """
 
 from __future__ import annotations
@@ -14,6 +19,7 @@ import heapq
 import math
 from array import array
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,153 +27,170 @@ from pyspark.sql.window import Window
 
 from tessera.llm.common import whole_text, written
 
-#: Slots of a period before rounding.
-PERIOD = 1024
+#: Bytes of a block.
+BLOCK_BYTES = 32768
+#: Steps of the default weights: this many times the square root of a source's blocks. The period is then at most SCALE times
+#: the root of (sources times blocks): 4 million slots for 20 sources and 100 TB.
+SCALE = 16
 #: Slots of a source in one row of the plan, and the slots up to which the plan is broadcast.
 CHUNK, BROADCAST_SLOTS = 4096, 1 << 23
+#: Blocks up to which the plan isn't made by periods.
+PLAIN_SLOTS = 1 << 22
 #: Rows that one window of the running sum holds, about.
 WINDOW_ROWS = 4096
 
 
 def earliest_deadline_first(shares: list[tuple[int, int]], p: int) -> list[array]:
-    """Slots of the blocks of each source, from (a, number of blocks) in the order that breaks ties; the a sum up to ``p``."""
+    """Slots of all blocks of each source, from (weight, number of blocks) in the order that breaks ties; the weights of these
+    and of sources without blocks sum up to ``p``."""
     out = [array("q") for _ in shares]
     waiting = [(0, i) for i, (_, n) in enumerate(shares) if n > 0]  # release and source of its next block; sorted, so a heap
     ready: list[tuple[int, int]] = []  # deadline and source
-    t = 0
+    push, pop, t = heapq.heappush, heapq.heappop, 0
     while waiting or ready:
         if not ready:
             t = max(t, waiting[0][0])
         while waiting and waiting[0][0] <= t:
-            i = heapq.heappop(waiting)[1]
-            heapq.heappush(ready, (-(-(len(out[i]) + 1) * p // shares[i][0]), i))
-        i = heapq.heappop(ready)[1]
+            i = pop(waiting)[1]
+            push(ready, (-(-(len(out[i]) + 1) * p // shares[i][0]), i))
+        i = pop(ready)[1]
         out[i].append(t)
         if len(out[i]) < shares[i][1]:
-            heapq.heappush(waiting, (len(out[i]) * p // shares[i][0], i))
+            push(waiting, (len(out[i]) * p // shares[i][0], i))
         t += 1
     return out
 
 
-def quotas(sources: DataFrame, period: int = PERIOD) -> DataFrame:
-    """(source, a, p) from (source, weight) with non-negative integer weights: a blocks of every p slots, at least one."""
-    total = sources.agg(F.sum("weight")).first()[0] or 0
-    a = F.lit(1).cast("long") if total == 0 else F.greatest(F.lit(1).cast("long"), F.expr(f"({2 * period}L * weight + {total}L) div {2 * total}L"))
-    share = sources.select("source", a.alias("a"))
-    return share.withColumn("p", F.lit(share.agg(F.sum("a")).first()[0] or 0).cast("long"))
-
-
-def _plan(spark: SparkSession, shares: list[tuple[str, int, int]], p: int) -> DataFrame:
-    """(source, part, ats): slots of a source's blocks from part * CHUNK on, from (source, a, number of blocks)."""
+def phases(shares: list[tuple[int, int]], p: int, plain_slots: int = PLAIN_SLOTS) -> Iterator[tuple[int, int, dict[int, array]]]:
+    """(first cycle, cycles or 0 for no division into any, slots by source): what is planned. Up to ``plain_slots`` blocks are planned
+    as they come; more by periods, of which those with equal numbers of blocks are planned once. Both give equal slots."""
+    if sum(n for _, n in shares) <= plain_slots:
+        yield 0, 0, dict(enumerate(earliest_deadline_first(shares, p)))
+        return
+    left, cycle = {i: n for i, (_, n) in enumerate(shares) if n}, 0
+    while left:
+        own = [(i, shares[i][0], min(shares[i][0], n)) for i, n in left.items()]
+        times = min(max(1, left[i] // a) for i, a, _ in own)
+        ats = earliest_deadline_first([(a, m) for _, a, m in own], p)
+        yield cycle, times, {i: x for (i, _, _), x in zip(own, ats, strict=True)}
+        left = {i: rest for i, _, m in own if (rest := left[i] - m * times)}
+        cycle += times
+
+
+def _plan(spark: SparkSession, shares: list[tuple[str, int, int]], p: int, plain_slots: int) -> tuple[DataFrame, DataFrame]:
+    """(ss, sc, sp, ats): slots, within a cycle, of a source's blocks from sp * CHUNK on, in the cycles from sc on; and
+    (qs, a, p, cycles): a source's weight, the period, and the first cycles of its phases (none if there are no cycles)."""
     shares = sorted(shares, key=lambda x: x[0].encode())
+    starts: dict[str, list[int]] = {name: [] for name, _, _ in shares}
 
-    def rows() -> Iterator[tuple[str, int, list[int]]]:
-        for (name, _, _), ats in zip(shares, earliest_deadline_first([x[1:] for x in shares], p), strict=True):
-            for part in range(-(-len(ats) // CHUNK)):
-                yield name, part, ats[part * CHUNK : (part + 1) * CHUNK].tolist()
-
-    return written(spark.createDataFrame(list(rows()), "source string, part long, ats array<long>"), "mixing-plan")
+    def rows() -> Iterator[tuple[str, int, int, list[int]]]:
+        for cycle, times, ats_of in phases([x[1:] for x in shares], p, plain_slots):
+            for i, ats in ats_of.items():
+                if times:
+                    starts[shares[i][0]].append(cycle)
+                for part in range(-(-len(ats) // CHUNK)):
+                    yield shares[i][0], cycle, part, ats[part * CHUNK : (part + 1) * CHUNK].tolist()
 
+    plan = written(spark.createDataFrame(list(rows()), "ss string, sc long, sp long, ats array<long>"), "mixing-plan")
+    return plan, spark.createDataFrame([(name, a, p, starts[name]) for name, a, _ in shares], "qs string, a long, p long, cycles array<long>")
 
-def schedule(quota: DataFrame) -> DataFrame:
-    """(source, i, at): slot within the period of the source's i-th block of it."""
-    rows = quota.collect()  # one a source
-    plan = _plan(quota.sparkSession, [(r.source, r.a, r.a) for r in rows], rows[0].p if rows else 0)
-    return plan.select("source", F.col("part"), F.posexplode("ats").alias("k", "at")).select("source", "at", (F.col("part") * CHUNK + F.col("k")).alias("i"))
 
-
-def _scheduled(docs: DataFrame, block_bytes: int, weights: dict[str, int] | None, source: str, period: int | None) -> DataFrame:
+def _scheduled(docs: DataFrame, block_bytes: int, weights: dict[str, int] | None, source: str, plain_slots: int = PLAIN_SLOTS) -> DataFrame:
     """row (struct of all columns), source, md (order in the source), block, release, deadline, slot."""
     name = F.coalesce(F.col(f"`{source}`").cast("string"), F.lit(""))
     text = whole_text("`text`")
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), name.alias("source"), F.octet_length(text).cast("long").alias("bytes"),
-        F.md5(F.coalesce(F.col("`doc_id`").cast("string"), F.lit("")).cast("binary")).alias("md"), F.md5(text.cast("binary")).alias("mt"),
+        F.md5(F.concat_ws(":", F.coalesce(F.col("`doc_id`").cast("string"), F.lit("")), F.md5(text.cast("binary"))).cast("binary")).alias("md"),
     )
-    sizes = written(rows.groupBy("source").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n")), "source-sizes")
-    n_rows = sizes.agg(F.sum("n")).first()[0]
+    sizes = written(rows.groupBy("source").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n")), "source-sizes").collect()  # one row a source
     if weights is None:
-        target = sizes.select("source", F.floor(F.sqrt("bytes")).cast("long").alias("weight"))
-    else:
-        given = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
-        target = sizes.select("source", F.coalesce(given[F.col("source")], F.lit(0)).cast("long").alias("weight"))
-    if period:
-        quota, cycle = quotas(target, period), F.col("a")
+        given = {r.source: math.isqrt(SCALE * SCALE * r.bytes // int(block_bytes)) for r in sizes}
     else:
-        quota, cycle = target.select("source", F.greatest(F.lit(1), "weight").cast("long").alias("a")), None
-        quota = quota.withColumn("p", F.lit(quota.agg(F.sum("a")).first()[0] or 0).cast("long"))
+        given = {r.source: int(weights.get(r.source, 0)) for r in sizes}
+    least = max(0, reduce(math.gcd, [max(1, w) for w in given.values()], 0)) or 1
     # one row a source; the last document may start where the last block ends
-    shares = [(r.source, r.a, r.a if period else r.bytes // int(block_bytes) + 1, r.p) for r in quota.join(sizes, "source").collect()]
-    plan = _plan(docs.sparkSession, [x[:3] for x in shares], shares[0][3] if shares else 0).select(F.col("source").alias("ss"), F.col("part").alias("sp"), "ats")
-    if sum(x[2] for x in shares) <= BROADCAST_SLOTS:
+    shares = [(r.source, max(1, given[r.source]) // least, r.bytes // int(block_bytes) + 1) for r in sizes]
+    period = sum(a for _, a, _ in shares)
+    plan, quota = _plan(docs.sparkSession, shares, period, plain_slots)
+    if sum(n for _, _, n in shares) <= min(plain_slots, BROADCAST_SLOTS):
         plan = F.broadcast(plan)
-    digits = max(0, math.ceil(math.log(max(1, (n_rows or 0) / WINDOW_ROWS), 16)))  # hex digits of md that tell the windows of a source apart
+    if len(shares) <= BROADCAST_SLOTS >> 6:
+        quota = F.broadcast(quota)
+    n_rows = sum(r.n for r in sizes)
+    digits = max(0, math.ceil(math.log(max(1, n_rows / WINDOW_ROWS), 16)))  # hex digits of md that tell the windows of a source apart
     rows = rows.withColumn("bucket", F.substring("md", 1, digits))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("source", "bucket").agg(F.sum("bytes").alias("sum")).select("source", "bucket", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("source", "bucket").orderBy("md", "mt").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "bucket").orderBy("md").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("run", F.coalesce(F.sum("bytes").over(within), F.lit(0))).join(offsets, ["source", "bucket"])
     rows = rows.withColumn("block", F.expr(f"(offset + run) div {int(block_bytes)}L"))
-    rows = rows.join(F.broadcast(quota.withColumnRenamed("source", "qs")), F.col("source") == F.col("qs"))
-    rows = rows.withColumn("i", F.col("block") % cycle if period else F.col("block"))
-    rows = rows.join(plan, (F.col("source") == F.col("ss")) & (F.expr(f"i div {CHUNK}") == F.col("sp"))).withColumn("at", F.col("ats")[(F.col("i") % CHUNK).cast("int")])
+    rows = rows.join(quota, F.col("source") == F.col("qs"))
+    cyclic = F.size("cycles") > 0
+    rows = rows.withColumn("cycle", F.when(cyclic, F.expr("block div a")).otherwise(0)).withColumn("i", F.when(cyclic, F.col("block") % F.col("a")).otherwise(F.col("block")))
+    rows = rows.withColumn("phase", F.coalesce(F.expr("array_max(filter(cycles, x -> x <= cycle))"), F.lit(0)))
+    here = (F.col("source") == F.col("ss")) & (F.col("phase") == F.col("sc")) & (F.expr(f"i div {CHUNK}") == F.col("sp"))
+    rows = rows.join(plan, here).withColumn("at", F.col("ats")[(F.col("i") % CHUNK).cast("int")])
     return rows.select(
-        "row", "source", "md", "mt", "block", F.expr("(block * p) div a").alias("release"), F.expr("((block + 1) * p + a - 1) div a").alias("deadline"),
-        F.expr("(block div a) * p + at" if period else "at").alias("slot"),
+        "row", "source", "md", "block", F.expr("(block * p) div a").alias("release"), F.expr("((block + 1) * p + a - 1) div a").alias("deadline"),
+        F.expr("cycle * p + at").alias("slot"),
     )
 
 
-def slots(docs: DataFrame, block_bytes: int = 32768, weights: dict[str, int] | None = None, source: str = "source", period: int | None = PERIOD) -> DataFrame:
+def slots(docs: DataFrame, block_bytes: int = BLOCK_BYTES, weights: dict[str, int] | None = None, source: str = "source") -> DataFrame:
     """(doc_id, source, block, release, deadline, slot) for every row of ``docs``; none is dropped or repeated.
 
-    A document's block is the one that it starts in. ``weights`` are whole target weights by source (missing or 0: the least,
-    one block a period, or weight 1 where ``period`` is None and weights are exact); by default the square root of a source's bytes, which lies between its share and equal shares.
-    After a source's last block the others go on in their windows: slots of a period stay empty, exact ones go to any released
-    block. A
-    null source has the empty name, null texts no bytes; rows with equal ids come in the order of their texts' digests.
+    A document's block is the one that it starts in; a very long one reaches over many blocks and stays whole. ``weights``
+    are whole target weights by source (missing or 0: weight 1); by default ``SCALE`` times the square root of a source's
+    blocks, which lies between its share and equal shares. A null source has the empty name, null texts no bytes; rows with
+    equal ids come in the order of their texts' digests, and equal rows, each of which stays, side by side. An empty table
+    gives no rows; other columns, whatever their names, are not read.
     """
-    return _scheduled(docs, block_bytes, weights, source, period).select(F.col("row.doc_id").alias("doc_id"), "source", "block", "release", "deadline", "slot")
+    return _scheduled(docs, block_bytes, weights, source).select(F.col("row.doc_id").alias("doc_id"), "source", "block", "release", "deadline", "slot")
 
 
-def mixed(docs: DataFrame, block_bytes: int = 32768, weights: dict[str, int] | None = None, source: str = "source", period: int | None = None) -> DataFrame:
-    """All rows of ``docs``, their columns unchanged, dealt by range and sorted in the order of ``slots``; weights are exact."""
-    rows = _scheduled(docs, block_bytes, weights, source, period)
-    order = ["slot", "md", "mt"]
+def mixed(docs: DataFrame, block_bytes: int = BLOCK_BYTES, weights: dict[str, int] | None = None, source: str = "source") -> DataFrame:
+    """All rows of ``docs``, their columns unchanged, dealt by range and sorted in the order of ``slots``."""
+    rows = _scheduled(docs, block_bytes, weights, source)
+    order = ["slot", "md"]
     return rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
-def placed(docs: DataFrame, block_bytes: int = 32768, weights: dict[str, int] | None = None, source: str = "source") -> DataFrame:
+def placed(docs: DataFrame, block_bytes: int = BLOCK_BYTES, weights: dict[str, int] | None = None, source: str = "source") -> DataFrame:
     """(doc_id, text_sha256, source, block, slot, position) for every row of ``docs``: the order of ``mixed`` as columns.
 
     position counts from 0 within a slot, which is one block; (slot, position) is unique.
     """
-    rows = _scheduled(docs, block_bytes, weights, source, None)
-    rows = rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), F.sha2(whole_text("row.text").cast("binary"), 256).alias("text_sha256"), "source", "block", "slot", "md", "mt")
-    place = F.row_number().over(Window.partitionBy("slot").orderBy("md", "mt")) - 1
+    rows = _scheduled(docs, block_bytes, weights, source)
+    rows = rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), F.sha2(whole_text("row.text").cast("binary"), 256).alias("text_sha256"), "source", "block", "slot", "md")
+    place = F.row_number().over(Window.partitionBy("slot").orderBy("md")) - 1
     return rows.select("doc_id", "text_sha256", "source", "block", "slot", place.cast("long").alias("position"))
 
 
-#: The rows of ``slots`` in DuckDB, for blocks of 32768 bytes.
+#: The rows of ``slots`` in DuckDB, for blocks of 32768 bytes: windows by the same whole weights, and a recursion over slots
+#: that runs the released block with the earliest deadline. c counts the blocks run, by source.
 SQL = """
 WITH RECURSIVE d AS (
   SELECT doc_id, coalesce(source, '') AS source, strlen(coalesce(text, '')) AS bytes,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS md, md5(coalesce(text, '')) AS mt FROM documents),
-w AS (SELECT source, CAST(floor(sqrt(CAST(sum(bytes) AS DOUBLE))) AS BIGINT) AS weight FROM d GROUP BY source),
-r AS (SELECT CAST(sum(weight) AS BIGINT) AS r FROM w),
-q AS (SELECT source, greatest(1, CASE WHEN r = 0 THEN 1 ELSE (2048 * weight + r) // (2 * r) END) AS a FROM w, r),
-s AS (SELECT list(source ORDER BY source) AS names, list(a ORDER BY source) AS a, CAST(sum(a) AS BIGINT) AS p, count(*) AS n FROM q),
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS md FROM documents),
+w AS (SELECT source, CAST(sum(bytes) AS BIGINT) // 32768 + 1 AS n,
+        greatest(1, CAST(floor(sqrt(CAST(256 * sum(bytes) // 32768 AS DOUBLE))) AS BIGINT)) AS weight FROM d GROUP BY source),
+g AS (SELECT list_reduce(list(weight), lambda x, y: greatest_common_divisor(x, y)) AS g FROM w),
+q AS (SELECT source, n, weight // g AS a FROM w, g),
+s AS (SELECT list(source ORDER BY source) AS names, list(a ORDER BY source) AS a, list(n ORDER BY source) AS m, CAST(sum(a) AS BIGINT) AS p, count(*) AS n FROM q),
+l AS (SELECT max((q.n * s.p + q.a - 1) // q.a) AS last FROM q, s),
 e(t, c, k) AS (
   SELECT CAST(-1 AS BIGINT), list_transform(a, lambda x: CAST(0 AS BIGINT)), CAST(-1 AS BIGINT) FROM s
   UNION ALL
-  SELECT t + 1, list_transform(range(1, n + 1), lambda i: c[i] + CASE WHEN i = pick + 1 THEN 1 ELSE 0 END), pick FROM (
+  SELECT t + 1, list_transform(range(1, n + 1), lambda i: c[i] + CASE WHEN pick IS NOT NULL AND i = pick + 1 THEN 1 ELSE 0 END), pick FROM (
     SELECT e.t, e.c, s.n, list_min(list_filter(list_transform(range(1, s.n + 1), lambda i:
-        CASE WHEN e.c[i] < s.a[i] AND (e.c[i] * s.p) // s.a[i] <= e.t + 1
+        CASE WHEN e.c[i] < s.m[i] AND (e.c[i] * s.p) // s.a[i] <= e.t + 1
              THEN (((e.c[i] + 1) * s.p + s.a[i] - 1) // s.a[i]) * s.n + i - 1 END), lambda y: y IS NOT NULL)) % s.n AS pick
-    FROM e, s WHERE e.t + 1 < s.p)),
-o AS (SELECT s.names[k + 1] AS source, t AS at, row_number() OVER (PARTITION BY k ORDER BY t) - 1 AS i FROM e, s WHERE t >= 0),
+    FROM e, s, l WHERE e.t + 1 < l.last)),
+o AS (SELECT s.names[k + 1] AS source, t AS at, row_number() OVER (PARTITION BY k ORDER BY t) - 1 AS i FROM e, s WHERE k >= 0),
 b AS (SELECT doc_id, source,
-        coalesce(sum(bytes) OVER (PARTITION BY source ORDER BY md, mt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 32768 AS block FROM d)
+        coalesce(sum(bytes) OVER (PARTITION BY source ORDER BY md ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 32768 AS block FROM d)
 SELECT b.doc_id, b.source, CAST(b.block AS BIGINT) AS block, CAST((b.block * s.p) // q.a AS BIGINT) AS release,
-       CAST(((b.block + 1) * s.p + q.a - 1) // q.a AS BIGINT) AS deadline, CAST((b.block // q.a) * s.p + o.at AS BIGINT) AS slot
-FROM b JOIN q ON q.source = b.source JOIN o ON o.source = b.source AND o.i = b.block % q.a, s
+       CAST(((b.block + 1) * s.p + q.a - 1) // q.a AS BIGINT) AS deadline, CAST(o.at AS BIGINT) AS slot
+FROM b JOIN q ON q.source = b.source JOIN o ON o.source = b.source AND o.i = b.block, s
 """
