@@ -47,8 +47,13 @@ BAD_NAMES = frozenset(
     popup promo promoted promotion recommended related reply replies respond share sharing shares sidebar sidebars signup social sponsor sponsored sponsors
     subscribe subscription tagcloud tags toolbar topbar widget widgets""".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that can hold an article and are never hidden by a class word such as "header-image".
 MAIN_SECTIONS = frozenset("article main".split())
+#: Elements that an end tag of another kind doesn't close, and end tags that close them all the same.
+HOLDERS, CLOSERS = frozenset("article main body table".split()), frozenset("html body article main".split())
+#: Block-level elements that may stand in a form control.
+IN_CONTROLS = frozenset("option optgroup hr legend".split())
 
 #: Pass one: link density from which a block is boilerplate; words from which a block may be main text, and stop-word
 #: densities from which one of those, or a long one, is; words from which a block is long.
@@ -56,25 +61,27 @@ LINKS, WORDS, STOPS, LONG, LONG_STOPS = 0.5, 10, 0.2, 40, 0.1
 #: Pass two: what a section border adds to the distance between blocks.
 BORDER = 1000
 
-_TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)>", re.S)
-_ATTR = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[>\"']")
+_HINT = re.compile(r"class|id|role|hidden|style", re.I)
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]*)))?")
 _NAME = re.compile(r"[a-z]+|\d+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _EDGE = re.compile(r"^\W+|\W+$")
 
 
 class Block:
-    __slots__ = ("good", "linked", "parts", "section", "text")
+    __slots__ = ("good", "head", "linked", "parts", "section", "text")
 
-    def __init__(self, section: int):
-        self.section, self.parts, self.linked, self.good, self.text = section, [], 0, None, ""
+    def __init__(self, section: int, head: bool = False):
+        self.section, self.head, self.parts, self.linked, self.good, self.text = section, head, [], 0, None, ""
 
 
 def _bad(tag: str, attrs: str, in_main: bool) -> bool:
     """Whether an element starts a boilerplate section, by its name or its attributes."""
     if tag in BAD_SECTIONS or (tag == "header" and not in_main):
         return True
-    for name, a, b, c in _ATTR.findall(attrs) if attrs and tag not in ("html", "body") else ():
+    for name, a, b, c in _ATTR.findall(attrs) if tag not in ("html", "body") and _HINT.search(attrs) else ():
         name, value = name.lower(), html.unescape(a or b or c)
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and "display:none" in value.lower().replace(" ", "")):
             return True
@@ -89,79 +96,183 @@ def _bad(tag: str, attrs: str, in_main: bool) -> bool:
     return False
 
 
+def _is_main(attrs: str) -> bool:
+    return "main" in attrs.lower() and any(name.lower() == "role" and "main" in (a or b or c).lower().split() for name, a, b, c in _ATTR.findall(attrs))
+
+
+def tokens(page: str) -> list[tuple[int, str, str]]:
+    """(0, text, ""), (1, tag, attributes) and (2, tag, "") in page order; comments, and elements whose content isn't markup, are
+    left out. Each character is passed a bounded number of times: what was once searched in vain isn't searched again."""
+    out: list[tuple[int, str, str]] = []
+    at, n = 0, len(page)
+    missing: set[str] = set()  # strings that don't occur any more
+
+    def find(what: str, start: int) -> int:
+        if what in missing:
+            return -1
+        if (found := page.find(what, start)) < 0:
+            missing.add(what)
+        return found
+
+    while at < n:
+        lt = find("<", at)
+        if lt < 0:
+            out.append((0, page[at:], ""))
+            break
+        if lt > at:
+            out.append((0, page[at:lt], ""))
+        m = _TAG.match(page, lt)
+        if not m:
+            if page.startswith("<!--", lt):
+                end = lt + 4 if page.startswith((">", "->"), lt + 4) else find("-->", lt + 4)
+                at = n if end < 0 else page.index(">", end) + 1
+            elif page.startswith("<![CDATA[", lt) and (end := find("]]>", lt)) >= 0:
+                at = end + 3
+            elif page.startswith(("<!", "<?", "</"), lt):
+                at = find(">", lt) + 1 or n
+            else:
+                out.append((0, "<", ""))
+                at = lt + 1
+            continue
+        at = start = m.end()
+        while stop := _STOP.search(page, at) if ">" not in missing else None:  # quotes hold the end of a tag only behind an equals sign
+            at = stop.end()
+            if stop[0] == ">":
+                break
+            if page[start : at - 1].rstrip()[-1:] == "=" if at - start < 64 else page[max(start, at - 64) : at - 1].rstrip()[-1:] == "=":
+                close = find(stop[0], at)
+                if close >= 0:
+                    at = close + 1
+        else:
+            break  # the page's end cuts the tag off
+        tag, attrs = m[2].lower(), page[start : at - 1]
+        if m[1]:
+            out.append((2, tag, ""))
+        elif tag in RAW:
+            end = _RAW_END[tag].search(page, at)
+            at = end.end() if end else n
+        else:
+            out.append((1, tag, attrs))
+    return out
+
+
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
+
+
+def _self_closing(tag: str, attrs: str) -> bool:
+    """Only foreign elements can be; a slash at the end of an unquoted value is part of it."""
+    return tag in ("svg", "math") and attrs.endswith("/") and not re.search(r"=\s*[^\s\"'=]*/\Z", attrs[-256:])
+
+
+def _ends(found: list[tuple[int, str, str]]) -> dict[int, int]:
+    """Where dropped elements end, by the place of their start tags; those without an end tag are left out."""
+    open_at: dict[str, list[int]] = {}
+    out = {}
+    for i, (kind, tag, attrs) in enumerate(found):
+        if kind and tag in DROPPED:
+            if kind == 2:
+                if open_at.get(tag):
+                    out[open_at[tag].pop()] = i
+            elif not _self_closing(tag, attrs):
+                open_at.setdefault(tag, []).append(i)
+    return out
+
+
+class _Open:
+    """The stack of open elements, with the places of each tag, of blocks, of holders and of dropped elements, so that none
+    of the rules for leaving elements has to look through it."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int, bool, bool]] = []  # element, section before it, whether it is a link, whether that section is main
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.holders: list[int] = []
+        self.dropped: list[int] = []
+        self.links = self.mains = 0
+
+    def push(self, tag: str, section: int, in_main: bool, dropped: bool = False) -> None:
+        k = len(self.stack)
+        self.stack.append((tag, section, tag == "a", in_main))
+        self.places.setdefault(tag, []).append(k)
+        for where, own in ((self.blocks, tag in BLOCK_TAGS), (self.holders, tag in HOLDERS), (self.dropped, dropped)):
+            if own:
+                where.append(k)
+        self.links += tag == "a"
+        self.mains += in_main
+
+    def leave(self, k: int) -> int:
+        """Closes elements from place k on; the section before it."""
+        section = self.stack[k][1]
+        while len(self.stack) > k:
+            tag, _, link, in_main = self.stack.pop()
+            self.places[tag].pop()
+            self.links -= link
+            self.mains -= in_main
+        for where in (self.blocks, self.holders, self.dropped):
+            while where and where[-1] >= k:
+                where.pop()
+        return section
+
+    def last(self, tag: str) -> int:
+        own = self.places.get(tag)
+        return own[-1] if own else -1
+
+
 def blocks(page: str) -> tuple[list[Block], list[str]]:
-    """Blocks in page order, and the kind of each section: bad, main or plain."""
-    kinds, out = ["plain"], []
-    stack: list[tuple[str, int, bool]] = []  # element, section before it, whether it is a link
-    section, links, at, n = 0, 0, 0, len(page)
-    now = Block(0)
-
-    def text(s: str) -> None:
-        if s:
-            s = html.unescape(s)
-            now.parts.append(s)
-            if links:
-                now.linked += len("".join(s.split()))
-
-    def cut() -> None:
+    """Blocks in page order, and the kind of each section: bad, form, main or plain."""
+    kinds, out, opened, section, now = ["plain"], [], _Open(), 0, Block(0)
+    found = tokens(page)
+    ends = _ends(found)
+
+    def cut(head: bool = False) -> None:
         nonlocal now
         if now.parts:
             out.append(now)
-        now = Block(section)
+        now = Block(section, head)
 
-    while at < n:
-        m = _TOKEN.search(page, at)
-        if not m:
-            rest = page[at:]
-            tail = re.search(r"<[a-zA-Z/!?][^<]*\Z", rest)  # a tag that the page's end cuts off is no text
-            text(rest[: tail.start()] if tail else rest)
-            break
-        text(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+    i, n = 0, len(found)
+    while i < n:
+        kind, tag, attrs = found[i]
+        i += 1
+        if kind == 0:
+            if not opened.dropped:
+                s = html.unescape(tag)
+                now.parts.append(s)
+                if opened.links:
+                    now.linked += len("".join(s.split()))
             continue
-        tag, closing, attrs = m[2].lower(), bool(m[1]), m[3]
-        if not closing and tag in DROPPED and not attrs.endswith("/"):
+        if kind == 1 and tag in DROPPED and i - 1 in ends:
             if tag in BLOCK_TAGS:
                 cut()
-            at = _after(page, at, tag)
+            i = ends[i - 1] + 1
             continue
         if tag in BLOCK_TAGS:
-            cut()
-        if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    for _, before, link in reversed(stack[k:]):
-                        section = before
-                        links -= link
-                    del stack[k:]
-                    now.section = section if not now.parts else now.section
-                    break
-                if stack[k][0] in ("article", "main", "body", "table") and tag not in ("html", "body", "article", "main"):
-                    break  # a stray end tag doesn't close what holds it
+            cut(kind == 1 and tag in HEADINGS)
+        if kind == 2:
+            k = opened.last(tag)
+            if k >= 0 and (tag in CLOSERS or not opened.holders or k >= opened.holders[-1]):  # a stray end tag doesn't close what holds it
+                section = opened.leave(k)
+                now.section = section if not now.parts else now.section
+            continue
+        if tag in VOID or _self_closing(tag, attrs):
             continue
-        if tag in VOID or attrs.endswith("/"):
+        if opened.dropped and tag in BLOCK_TAGS and tag not in IN_CONTROLS:  # a control without an end tag ends where a block begins
+            section = opened.leave(opened.dropped[0])
+        if tag in DROPPED:
+            opened.push(tag, section, kinds[section] == "main", dropped=True)
             continue
-        if tag == "p" or (tag in BLOCK_TAGS and stack and stack[-1][0] == "p"):  # an open paragraph ends here, and inline elements left open in it
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    for _, _, link in stack[k:]:
-                        links -= link
-                    del stack[k:]
-                    break
-                if stack[k][0] in BLOCK_TAGS:
-                    break
-        link = tag == "a"
-        stack.append((tag, section, link))
-        links += link
-        in_main = any(kinds[s] == "main" for _, s, _ in stack) or kinds[section] == "main"
-        if kinds[section] != "bad" and (tag in BLOCK_TAGS or tag in BAD_SECTIONS or tag == "span"):
-            kind = "bad" if _bad(tag, attrs, in_main) else "main" if tag in MAIN_SECTIONS or 'role="main"' in attrs.lower() else None
-            if kind:
-                kinds.append(kind)
+        if tag in BLOCK_TAGS and (k := opened.last("p")) >= 0 and opened.blocks[-1] == k and (tag == "p" or k == len(opened.stack) - 1):
+            opened.leave(k)  # an open paragraph ends here, and inline elements left open in it
+        before = section
+        in_main = opened.mains > 0 or kinds[section] == "main"
+        if (kinds[section] != "bad" and (tag in BLOCK_TAGS or tag in BAD_SECTIONS or tag == "span")) and (kinds[section] != "form" or tag in MAIN_SECTIONS):
+            kind_of = ("form" if tag == "form" else "bad") if _bad(tag, attrs, in_main) else "main" if tag in MAIN_SECTIONS or _is_main(attrs) else None
+            if kind_of:
+                kinds.append(kind_of)
                 section = len(kinds) - 1
                 if tag not in BLOCK_TAGS and now.parts:
                     cut()
+        opened.push(tag, before, kinds[before] == "main")
         if not now.parts:
             now.section = section
     cut()
@@ -170,22 +281,9 @@ def blocks(page: str) -> tuple[list[Block], list[str]]:
     return [b for b in out if b.text], kinds
 
 
-def _after(page: str, at: int, tag: str) -> int:
-    """Position after the end tag of a dropped element; nested elements of its name count unless its content is raw. An
-    element that is never closed holds the rest of the page, but an unclosed head ends at the body."""
-    depth = 1
-    for m in re.compile(rf"<(/?){tag}(?=[\s/>])[^>]*>" + (r"|<(?=body[\s>])" if tag == "head" else ""), re.I).finditer(page, at):
-        if m[1] is None:
-            return m.start()
-        depth += -1 if m[1] else tag not in RAW
-        if not depth:
-            return m.end()
-    return len(page)
-
-
 def decide(b: Block, kind: str) -> bool | None:
     """Pass one: True for main text, False for boilerplate, None for undecided."""
-    if kind == "bad":
+    if kind in ("bad", "form"):
         return False
     letters = len("".join(b.text.split()))
     if letters and b.linked / letters >= LINKS:
@@ -225,9 +323,9 @@ def extract(page: str | None) -> str:
             b.good = min(near, key=lambda x: (x[0], not x[1]))[1] if any(x[1] for x in near) else not b.linked
         elif near or before[i] or after[i]:
             near = near or [x for x in (before[i], after[i]) if x]
-            b.good = min(near, key=lambda x: (x[0], x[1]))[1]
+            b.good = min(near, key=lambda x: (x[0], x[1] if x is not after[i] or not b.head else -1))[1]  # a heading goes with what follows
         else:
-            b.good = kinds[b.section] != "bad" and b.linked == 0
+            b.good = kinds[b.section] not in ("bad", "form") and b.linked == 0
     return " ".join(b.text for b in found if b.good)
 
 
@@ -235,7 +333,7 @@ def extracted(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages``; null html is empty, and a page without main text gives "".
 
     Repeated rows come out as often as they come in, null ids and urls stay null, an empty table gives no rows, other columns
-    are not read. A page costs time and memory in proportion to its own length.
+    whatever their names, are not read. A page costs time and memory in proportion to its own length.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,3 +1,5 @@
+import time
+
 import pandas as pd
 import pytest
 
@@ -18,6 +20,47 @@ def test_odd_inputs():
     assert extract("<div>" * 3000 + LONG + "</div>" * 3000) == LONG
 
 
+def test_slashes_do_not_close_html_elements():
+    assert extract(f"<script src=/js/>var leak = 1</script><p>{LONG}</p>") == LONG
+    assert extract(f"<div/><p>{LONG}</p></div><script/>var leak</script>") == LONG
+    assert extract(f"<p>{LONG}</p><p><a href=http://x.com/>Home</a> <a href=/b/>All of it and more and more</a></p><footer>f") == LONG
+    assert extract(f"<svg/><p>{LONG}</p>") == LONG and extract(f"<svg width=5/><text>leak</text></svg><p>{LONG}</p>") == LONG
+
+
+@pytest.mark.parametrize("tag", ["button", "select", "object", "svg", "template", "video", "canvas", "map"])
+def test_unclosed_controls_end_at_a_block_or_with_their_parent(tag):
+    assert extract(f"<{tag}>Open<p>{LONG}") == LONG
+    assert extract(f"<div><{tag}>Open</div>{LONG}") == LONG
+    assert extract(f"<div><{tag}><p>{LONG}</p></{tag}></div><p>{LONG}</p>") == LONG
+    assert extract(f"<{tag}>Open<p>{LONG}</p><{tag}>{LONG}</{tag}>") == LONG
+
+
+def test_attributes_are_told_from_their_values():
+    assert extract(f'<div title="hidden gem, class=ad"><p>{LONG}</p></div>') == LONG
+    assert extract(f'<div data-x="a>b" class=\'story\'><p>{LONG}</p></div>') == LONG
+    assert extract(f'<p>{LONG} <b title=">">so</b> "quoted" <i ">it</i></p>') == f'{LONG} so "quoted" it'
+    assert extract(f"<form><main><p>{LONG}</p></main><p>{LONG}</p></form>") == LONG
+    assert extract(f"<!--> <p>{LONG}</p><![CDATA[ x ]]><p>1 < 2 </p>") == f"{LONG} 1 < 2"
+
+
+def test_pages_without_names_go_by_density():
+    menu = "".join(f"<div><a href=/{k}>Item {k}</a></div>" for k in range(9))
+    page = f"<body><div>{menu}</div><div><h2>Head</h2><div>{LONG}</div><div>Ha.</div><div>{LONG}</div></div><div>{menu}<div>All rights</div></div></body>"
+    assert extract(page) == f"Head {LONG} Ha. {LONG}"
+
+
+@pytest.mark.parametrize("unit", ["<div>", "<span>x", "<span>x</p>", '<a "', "<![CDATA[x", "<b ", "<p><span>", "<a href='", "<!--", "<button>", "<table><span></div>", "<svg>x", "</p>", "<p></p>", "&", "<div class=ad>", "<main>", '="', "<x =\"'>"])
+@pytest.mark.parametrize("lead", ["", "<div><table>", "<span>" * 3000])
+def test_time_grows_with_length(unit, lead):
+    def seconds(n):
+        began = time.process_time()
+        extract(lead + unit * n)
+        return time.process_time() - began
+
+    extract(unit * 100)
+    assert seconds(100_000) < 2 * 10 * max(0.05, min(seconds(10_000) for _ in range(2)))
+
+
 def test_inline_markup_keeps_words_whole():
     assert extract(f"<p>{LONG} in<b>sep</b>arable <i>x</i>\n\n y<br>z</p>") == f"{LONG} inseparable x y z"
 
