@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tessera.llm.common import held_out, whole_text, written
 
@@ -276,11 +277,20 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     return Model(full, Trees().fit(x, y), isotonic(raw, y))
 
 
-def scored(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row of ``docs``, or with ``keep`` its columns and toxicity_score.
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for every row of ``docs``.
 
-    Null texts are scored as empty ones; repeated rows come out as often as they come in; an empty table gives no rows.
+    Null texts are scored as empty ones, null ids are never held out; repeated rows come out as often as they come in, with
+    equal scores; an empty table gives no rows; other columns, whatever their names, are not read. A very long text is scored
+    whole and costs memory by its length. A score of exactly 0.5 is predicted 1.
     """
+    frame = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), held_out("`doc_id`").alias("held_out"), whole_text("`text`").alias("text"))
+    out = frame.mapInArrow(_scorer(docs, model), "doc_id long, held_out boolean, score double")
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def _scorer(docs: DataFrame, model: Model):
+    """Replaces the last column of each batch, the text, by its score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,16 +298,13 @@ def scored(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
             s = shared.value.scores(b.column(b.num_columns - 1).to_pylist())
             yield pa.record_batch([*b.columns[:-1], pa.array(s, pa.float64())], names=[*b.schema.names[:-1], "score"])
 
-    if keep:
-        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-        frame = docs.select(row.alias("row"), whole_text("`text`").alias("text"))
-        out = frame.mapInArrow(run, f"row {frame.schema['row'].dataType.simpleString()}, score double")
-        return out.select(*[F.col("row")[c].alias(c) for c in docs.columns], F.col("score").alias("toxicity_score"))
-    frame = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), whole_text().alias("text"))
-    out = frame.mapInArrow(run, "doc_id long, held_out boolean, score double")
-    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return run
 
 
 def accepted(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, their columns unchanged."""
-    return scored(docs, fit(docs, labels, fit_rows), keep=True).filter("toxicity_score < 0.5").drop("toxicity_score")
+    """The rows of ``docs`` that are not predicted toxic, their columns unchanged, whatever their names. Nulls, repeated rows,
+    long texts and empty tables as in ``scored``; without labels of both kinds no row is rejected unless all labels are toxic."""
+    frame = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), whole_text("`text`").alias("text"))
+    kind = StructType([frame.schema["row"], StructField("score", DoubleType())])
+    kept = frame.mapInArrow(_scorer(docs, fit(docs, labels, fit_rows)), kind).filter("score < 0.5")
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
