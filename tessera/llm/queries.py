@@ -44,7 +44,7 @@ def op8_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.drop_boilerplate(table(spark, sf_dir, "documents"), ratio=0.1, counts=True).select("doc_id", "source", "text", "n_lines", "n_dropped")
+    return line_dedup.drop_boilerplate(table(spark, sf_dir, "documents"), ratio=0.1, min_pages=3, counts=True).select("doc_id", "source", "text", "n_lines", "n_dropped")
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
