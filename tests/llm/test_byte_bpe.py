@@ -30,6 +30,18 @@ def test_encodes_as_the_library(both):
         assert codec.decode(ids) == t.encode()
 
 
+def test_letters_and_digits_are_the_librarys(both):
+    codec, library = both
+    rng = random.Random(8)
+    points = [c for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000]
+    newer = [c for c in points if byte_bpe._NEWER.match(chr(c))]
+    some = rng.sample(points, 30_000) + rng.sample(newer, 4000) + list(range(0x80, 0x3000)) + list(range(0xA000, 0xAC00))
+    for c in some:
+        t = f"a{chr(c)}b 1{chr(c)}'d {chr(c)}  {chr(rng.choice(some))}"
+        assert list(memoryview(codec.encode(t)).cast("I")) == library.encode_ordinary(t), ascii(t)
+        assert codec.decode(codec.encode(t)) == t.encode()
+
+
 def test_perfect_hash_is_minimal_and_rejects_strangers(both):
     table = both[0].table
     assert table.n == len(table.keys) == len(set(table.keys)) == 50256
