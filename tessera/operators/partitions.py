@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 
 import numpy as np
 import pandas as pd
@@ -43,9 +45,12 @@ def components(profile: DataFrame, tolerance: float, max_rounds: int = 60) -> Da
     """
     spark = profile.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at:
+            if not re.fullmatch(r"local(\[[\d*, ]+\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            at = tempfile.mkdtemp(prefix="checkpoint-")
+        spark.sparkContext.setCheckpointDir(at)
     near = graph.distances(profile).filter(F.col("distance") <= tolerance).select("tumor_id", "u", "v")
     near = near.union(near.select("tumor_id", F.col("v").alias("u"), F.col("u").alias("v"))).checkpoint()
     now = profile.select("tumor_id", F.col("mutation_id").alias("u"), F.col("mutation_id").alias("c")).distinct()
