@@ -3,6 +3,7 @@
 Two codebooks, one for each half of a vector, form a grid of cells. Every vector is stored in its own cell and, as a query,
 visits cells by multi-sequence traversal: the sorted scores of both halves are walked in order of their sum, until the sum
 passes the limit that reaches the target recall in calibration. What it meets there is verified by cosine in double precision.
+Of two cells only the one of lower number sends its vectors to the other, so a vector travels to half the cells that it visits.
 
 The score of a half is the squared distance to the plane between the own centroid and another, 0 for the own one: a vector
 that lies there is at least that far away. Pairs are counted where they are found and never listed: a task returns counts for
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import written
 from tessera.llm.components import components
 
-#: Vectors that codebooks and the limit are fitted on at most; chosen by digest of the id.
+#: Vectors that codebooks and the limit are fitted on at most; chosen by digest of label and vector.
 FIT_ROWS = 20_000
 #: Vectors a cell holds on average, about; codewords of a half at most.
 CELL, CODEWORDS = 128, 1024
@@ -121,17 +122,23 @@ def _matrix(column: pa.Array, kind: str) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _digested(kind: str):
+def _digested(kind: str, with_vectors: bool):
+    """Adds dim and digest of each usable vector, and its bytes or not; whole batches at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            vecs, digests, dims = [], [], []
-            for ok, v in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x = np.array([float("nan") if y is None else y for y in v], dtype=kind) + 0.0 if ok and v else None
-                if x is None or not np.isfinite(x).all() or not x.any():
-                    vecs.append(None), digests.append(None), dims.append(None)
-                else:
-                    vecs.append(x.tobytes()), digests.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest()), dims.append(len(x))
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(dims, pa.int32()), pa.array(digests, pa.binary()), pa.array(vecs, pa.binary())], names=["vec_id", "label", "dim", "digest", "vec"])
+            lists = b.column(3)
+            lists = lists.fill_null([]) if lists.null_count else lists
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(kind) + 0.0  # nulls are not finite now; no negative zeros
+            ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            starts = np.concatenate((np.zeros(1, dtype=np.int64), ends[:-1]))
+            bad, some = (np.concatenate((np.zeros(1, dtype=np.int64), np.cumsum(x))) for x in (~np.isfinite(flat), flat != 0))
+            fine = b.column(2).to_numpy(zero_copy_only=False).astype(bool) & (bad[ends] == bad[starts]) & (some[ends] > some[starts])
+            raw, size = flat.tobytes(), flat.dtype.itemsize
+            vecs = [raw[i * size : j * size] if k else None for i, j, k in zip(starts.tolist(), ends.tolist(), fine.tolist(), strict=True)]
+            digests = [None if v is None else hashlib.blake2b(v, digest_size=16).digest() for v in vecs]
+            columns = [b.column(0), b.column(1), pa.array((ends - starts).astype(np.int32), mask=~fine), pa.array(digests, pa.binary())]
+            yield pa.record_batch([*columns, *([pa.array(vecs, pa.binary())] if with_vectors else [])], names=["vec_id", "label", "dim", "digest", *(["vec"] if with_vectors else [])])
 
     return run
 
@@ -199,17 +206,17 @@ def linked(vectors: DataFrame, cosine: float = 0.93, recall: float = RECALL, fit
     """(vec_id, n_links, component_id, kept) for every row of (vec_id, embedding, label).
 
     Links join vectors of equal, non-null labels and equal length with cosine >= ``cosine``; none below it is made, and of
-    those at it the traversal is set to find the share ``recall`` from either side, so more from both. Equal vectors are
-    compared once and counted as often as they occur. Vectors that are null, empty, zero or hold null or non-finite
+    those at it the traversal is set to find the share ``recall``. Equal vectors are compared once and counted as often as they
+    occur. Vectors that are null, empty, zero or hold null or non-finite
     components, and rows with a null label or id, link with nothing: 0 links, their own component, kept. Repeated rows are
-    vectors of their own; an empty table gives no rows; other columns are not read. Cells with more than STORED vectors or
+    vectors of their own; an empty table gives no rows; other columns, whatever their names, are not read. Cells with more than STORED vectors or
     QUERIES queries are dealt out in chunks, so a dense group is compared by many tasks of bounded memory.
     """
     kind = "<f4" if "float" in vectors.schema["embedding"].dataType.simpleString() else "<f8"
     ok = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), ok.alias("ok"), F.col("embedding").cast("array<double>").alias("e"))
-    rows = written(rows.mapInArrow(_digested(kind), "vec_id long, label string, dim int, digest binary, vec binary"), "vectors")
-    reps = rows.filter("vec IS NOT NULL").groupBy("label", "digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.any_value("dim").alias("dim"), F.any_value("vec").alias("vec"))
+    schema = "vec_id long, label string, dim int, digest binary"
+    reps = rows.mapInArrow(_digested(kind, True), f"{schema}, vec binary").filter("vec IS NOT NULL").groupBy("label", "digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.any_value("dim").alias("dim"), F.any_value("vec").alias("vec"))
     # rows that share an id but not a vector would share rep: number classes by rep and digest
     reps = written(reps.select("label", "digest", F.col("rep").alias("least"), F.xxhash64("label", "digest").alias("rep"), "n", "dim", "vec"), "vector-classes")
     total, n_labels = reps.agg(F.count("*"), F.countDistinct("label", "dim")).first()
@@ -230,6 +237,7 @@ def linked(vectors: DataFrame, cosine: float = 0.93, recall: float = RECALL, fit
                 if dim in shared.value:
                     own, visits = shared.value[dim].visits(_matrix(part.column("vec"), kind))
                     own = np.asarray(own, dtype=np.int32)
+                    visits = [[c for c in cells if c >= mine] for mine, cells in zip(own.tolist(), visits, strict=True)]
                 else:  # a length that the sample lacks: one cell
                     own, visits = np.zeros(n, dtype=np.int32), [[0]] * n
                 yield pa.record_batch([*(part.column(c) for c in ("label", "dim", "rep", "n", "vec")), pa.array(own), pa.array(visits, pa.list_(pa.int32()))], names=["label", "dim", "rep", "n", "vec", "own", "visits"])
@@ -254,6 +262,7 @@ def linked(vectors: DataFrame, cosine: float = 0.93, recall: float = RECALL, fit
     classes = reps.join(counts, reps.rep == counts.u, "left").join(groups, reps.rep == groups.node, "left").select(
         F.col("label").alias("cl"), F.col("digest").alias("cd"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component_least", "least").alias("component_id")
     )
+    rows = rows.mapInArrow(_digested(kind, False), schema)  # once more, without the vectors
     out = rows.join(classes, (rows.label == F.col("cl")) & (rows.digest == F.col("cd")), "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

@@ -49,16 +49,35 @@ def test_odd_rows_against_brute_force(spark):
     assert got == slow(rows)
 
 
-@pytest.mark.parametrize("sf", ["sf0.01", "check_h"])
-def test_recall_on_the_table(spark, sf):
-    frame = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
-    rows = [(r.vec_id, r.embedding, r.label) for r in frame.collect()]
+def hard_rows(n=4000, dim=32):
+    """One large group of equal vectors, one of near ones, pairs at all similarities about the threshold, and the rest."""
+    rng = np.random.default_rng(11)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    hot, near = unit(rng.standard_normal(dim)), unit(rng.standard_normal(dim))
+    base = unit(rng.standard_normal((n // 4, dim)))
+    side = rng.standard_normal(base.shape)
+    side = unit(side - (side * base).sum(1, keepdims=True) * base)
+    cos = rng.uniform(0.9, 1, (len(base), 1))
+    every = np.concatenate((np.repeat(hot[None], n // 5, 0), unit(near + 0.03 * rng.standard_normal((n // 5, dim))), base, cos * base + np.sqrt(1 - cos**2) * side))
+    return [(i, every[j].tolist(), int(i % 3 > 0)) for i, j in enumerate(rng.permutation(len(every)).tolist())]
+
+
+@pytest.mark.parametrize("source", ["sf0.01", "hard"])
+def test_recall_on_whole_tables(spark, source):
+    if source == "hard":
+        rows = hard_rows()
+        frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    else:
+        frame = spark.read.parquet(f"/root/testdata/{source}/embeddings.parquet")
+        rows = [(r.vec_id, r.embedding, r.label) for r in frame.collect()]
     want = {r[0]: r for r in slow(rows)}
     got = {r.vec_id: tuple(r) for r in embed_dedup.linked(frame).collect()}
     assert got.keys() == want.keys()
     assert all(got[i][1] <= want[i][1] for i in want)
     assert sum(g[1] for g in got.values()) >= 0.98 * sum(w[1] for w in want.values())
     assert sum(got[i][2] == want[i][2] for i in want) >= 0.98 * len(want)
+    pairs = [w for w in want.values() if 0 < w[1] < 10]  # links outside the large groups
+    assert sum(got[w[0]][1] for w in pairs) >= 0.98 * sum(w[1] for w in pairs)
 
 
 def test_traversal_visits_cells_in_order_of_score():
