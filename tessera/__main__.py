@@ -27,14 +27,13 @@ def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     from pyspark.sql import SparkSession
 
-    from tessera.plans import config, fit, simulate
+    from tessera.plans import config, fit, report, simulate
     from tessera.sources import long_text
 
     spark = SparkSession.builder.appName("tessera").getOrCreate()
     if args.command == "fit":
         settings = config.resolve(args.profile, major_prior=args.major_prior, dosage_penalty=args.dosage_penalty, partition_tolerance=args.partition_tolerance, unsupported=args.unsupported)
-        for name, table in fit.fit_cohort(long_text.load(spark, args.input), settings).items():
-            table.write.mode("overwrite").partitionBy("tumor_id").option("sep", "\t").option("header", True).option("nullValue", ".").csv(f"{args.outdir}/{name}")
+        report.write_tables(fit.fit_cohort(long_text.load(spark, args.input), settings), args.outdir)
     else:
         given = {k: getattr(args, k) for k in ("mutations", "regions", "clones", "segments", "depth", "purity", "seed") if getattr(args, k) is not None}
         for name, table in simulate.simulate(spark, args.tumors, simulate.SimulationConfig(**given)).items():

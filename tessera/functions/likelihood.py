@@ -136,12 +136,6 @@ def path_summary(paths="paths", post="post", phi="phi", boundary_tol: float = 1e
     }
 
 
-def log_factorial(n) -> Column:
-    """ln n! for whole n >= 0."""
-    k = _c(n).cast("int")
-    return F.when(k < 2, F.lit(0.0)).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), F.lit(0.0), lambda acc, x: acc + F.ln(x.cast("double"))))
-
-
 def pilot_curvature(phi="phi", upper="phi_upper", eps: float = EPS, floor: float = 1e-6) -> Column:
     """Second difference of a unit's loss over unequal steps at phi, not below the floor; the floor where a bound leaves no
     room to step."""

@@ -16,19 +16,76 @@ def vectors(profile: DataFrame) -> DataFrame:
     return profile.groupBy("tumor_id", "mutation_id").agg(F.array_sort(F.collect_list(F.struct("sample_id", "phi", "observed"))).alias("x"))
 
 
-def pairs(nodes: DataFrame, *columns: str) -> DataFrame:
-    """All pairs u < v of a tumor's mutations, with the given columns of both ends: an equi-join on the tumor with the order
-    as a residual condition. Tumors are never crossed; the result is quadratic in a tumor's mutations by definition."""
-    left = nodes.select("tumor_id", F.col("mutation_id").alias("u"), *[F.col(c).alias(f"{c}_u") for c in columns])
-    right = nodes.select("tumor_id", F.col("mutation_id").alias("v"), *[F.col(c).alias(f"{c}_v") for c in columns])
-    return left.join(right, "tumor_id").filter("u < v")
+#: Mutations of a tumor that meet as many others in one part of a pair join, about.
+PART = 256
+
+
+def _parts(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    sizes = nodes.groupBy(*keys).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    return nodes.join(sizes, keys)
+
+
+def pairs(nodes: DataFrame, *columns: str, keys: tuple[str, ...] = ("tumor_id",), every: bool = False) -> DataFrame:
+    """All pairs u < v (or u <> v with ``every``) of a tumor's mutations, with the given columns of both ends; ``keys`` may name
+    more columns that both ends must share. The result is quadratic in a tumor's mutations by definition, but a tumor isn't
+    one key: one side is dealt into parts of about ``PART`` mutations, the other side goes to each of them, so that a large
+    tumor is spread over tasks. Tumors are never crossed."""
+    sized, n = _parts(nodes, list(keys)), int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = sized.select(*keys, F.col("mutation_id").alias("u"), *[F.col(c).alias(f"{c}_u") for c in columns], F.pmod(F.xxhash64("mutation_id"), F.col("parts")).cast("int").alias("part"))
+    right = sized.select(*keys, F.col("mutation_id").alias("v"), *[F.col(c).alias(f"{c}_v") for c in columns], F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    both = left.repartition(n, *keys, "part").join(right, [*keys, "part"])
+    return both.filter("u <> v" if every else "u < v").drop("part", *keys[1:])
 
 
 def uniform_edges(profile: DataFrame) -> DataFrame:
     """(tumor_id, u, v, w): complete graph, every weight 1 / (mutations - 1)."""
-    nodes = profile.select("tumor_id", "mutation_id").distinct()
-    sizes = nodes.groupBy("tumor_id").agg(F.count("*").alias("m"))
-    return pairs(nodes).join(sizes, "tumor_id").select("tumor_id", "u", "v", (1.0 / F.greatest(F.col("m") - 1, F.lit(1))).alias("w"))
+    return pairs(_weighted(profile.select("tumor_id", "mutation_id").distinct()), "w").select("tumor_id", "u", "v", F.col("w_u").alias("w"))
+
+
+def _weighted(nodes: DataFrame) -> DataFrame:
+    """Nodes with the weight that every edge of their tumor's uniform graph has."""
+    sizes = nodes.groupBy("tumor_id").agg((1.0 / F.greatest(F.count("*") - 1, F.lit(1))).alias("w"))
+    return nodes.join(sizes, "tumor_id")
+
+
+def columns_of(profile: DataFrame, n_regions: int) -> tuple[DataFrame, list[str]]:
+    """(tumor_id, mutation_id, x0, x1, ...): phi by region as columns, null beyond a tumor's regions, so that arithmetic on pairs
+    is compiled; and the names of these columns."""
+    names = [f"x{i}" for i in range(n_regions)]
+    return vectors(profile).select("tumor_id", "mutation_id", *[F.get("x", F.lit(i))["phi"].alias(x) for i, x in enumerate(names)]), names
+
+
+def _squares(names: list[str]):
+    """Sum of squared differences between the two ends, over columns that aren't null."""
+    out = F.lit(0.0)
+    for x in names:
+        out = out + F.coalesce((F.col(f"{x}_u") - F.col(f"{x}_v")) * (F.col(f"{x}_u") - F.col(f"{x}_v")), F.lit(0.0))
+    return out
+
+
+def uniform_norms(profile: DataFrame, n_regions: int) -> DataFrame:
+    """(tumor_id, u, v, w, norm): the uniform graph with the length of each edge's difference, in one pass over the pairs."""
+    nodes, names = columns_of(profile, n_regions)
+    return pairs(_weighted(nodes), "w", *names).select("tumor_id", "u", "v", F.col("w_u").alias("w"), F.sqrt(_squares(names)).alias("norm"))
+
+
+def uniform_differences(profile: DataFrame) -> DataFrame:
+    """(tumor_id, u, v, w, diff) of the uniform graph, as ``differences`` gives them, in one pass over the pairs."""
+    nodes = _weighted(vectors(profile).select("tumor_id", "mutation_id", F.transform("x", lambda a: a["phi"]).alias("phi")))
+    return pairs(nodes, "w", "phi").select("tumor_id", "u", "v", F.col("w_u").alias("w"), F.zip_with("phi_u", "phi_v", lambda a, b: a - b).alias("diff"))
+
+
+def uniform_flow(profile: DataFrame, n_regions: int, lam: float = 1.0, tolerance: float = 1e-6) -> DataFrame:
+    """(tumor_id, mutation_id, adj): what ``adjoint`` gives for the analytic dual of the uniform graph. The dual of an edge is odd
+    in its direction, so a mutation's sum runs over all others: pairs are aggregated where they are made, and none is moved."""
+    nodes, names = columns_of(profile, n_regions)
+    rows = pairs(_weighted(nodes), "w", *names, every=True)
+    rows = rows.select("tumor_id", F.col("u").alias("mutation_id"), *[(F.col(f"{x}_u") - F.col(f"{x}_v")).alias(x) for x in names], (lam * F.col("w_u")).alias("r"), F.sqrt(_squares(names)).alias("n"))
+    share = F.when(F.col("n") > tolerance, F.col("r") / F.greatest(F.col("n"), F.lit(1e-12))).otherwise(F.lit(0.0))
+    sums = rows.groupBy("tumor_id", "mutation_id").agg(*[F.sum(F.col(x) * share).alias(x) for x in names])
+    alone = nodes.select("tumor_id", "mutation_id", *[F.when(F.col(x).isNotNull(), F.lit(0.0)).alias(x) for x in names])
+    sums = sums.union(alone).groupBy("tumor_id", "mutation_id").agg(*[F.sum(x).alias(x) for x in names])
+    return sums.select("tumor_id", "mutation_id", F.array_compact(F.array(*names)).alias("adj"))
 
 
 def _add(array, start=0.0):
@@ -98,6 +155,12 @@ def penalty(diffs: DataFrame, lam: float = 1.0) -> DataFrame:
     return diffs.groupBy("tumor_id").agg((lam * F.sum(F.col("w") * norm())).alias("penalty"))
 
 
+def complete_degree(profile: DataFrame) -> DataFrame:
+    """(tumor_id, degree) of the complete graph: the other mutations, without making its edges."""
+    nodes = profile.select("tumor_id", "mutation_id").distinct().groupBy("tumor_id").agg(F.count("*").alias("m"))
+    return nodes.filter("m > 1").select("tumor_id", (F.col("m") - 1).alias("degree"))
+
+
 def degree_bound(edges: DataFrame) -> DataFrame:
     """(tumor_id, degree): the most edges that a mutation of the tumor has."""
     ends = edges.select("tumor_id", F.explode(F.array("u", "v")).alias("m"))

@@ -7,27 +7,33 @@ import tempfile
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import graph
 
 
-def _pair_distance(profile: DataFrame, labels: DataFrame) -> DataFrame:
-    nodes = graph.vectors(profile).join(labels.select("tumor_id", "mutation_id", "cluster"), ["tumor_id", "mutation_id"]).select("tumor_id", "mutation_id", "cluster", F.transform("x", lambda a: a["phi"]).alias("phi"))
-    both = graph.pairs(nodes, "cluster", "phi")
-    return both.select("tumor_id", "u", "v", "cluster_u", "cluster_v", F.zip_with("phi_u", "phi_v", lambda a, b: a - b).alias("diff")).withColumn("d", graph.norm())
+def _clustered(profile: DataFrame, labels: DataFrame) -> DataFrame:
+    rows = graph.vectors(profile).join(labels.select("tumor_id", "mutation_id", "cluster"), ["tumor_id", "mutation_id"])
+    return rows.select("tumor_id", "mutation_id", "cluster", F.transform("x", lambda a: a["phi"]).alias("phi"))
+
+
+def _with_distance(both: DataFrame) -> DataFrame:
+    return both.withColumn("diff", F.zip_with("phi_u", "phi_v", lambda a, b: a - b)).withColumn("d", graph.norm())
 
 
 def diameters(profile: DataFrame, labels: DataFrame) -> DataFrame:
-    """(tumor_id, cluster, diameter): the largest distance within each cluster, 0 for single mutations."""
-    inner = _pair_distance(profile, labels).filter("cluster_u = cluster_v").groupBy("tumor_id", F.col("cluster_u").alias("cluster")).agg(F.max("d").alias("d"))
+    """(tumor_id, cluster, diameter): the largest distance within each cluster, 0 for single mutations. Only pairs of one cluster
+    are made."""
+    nodes = _clustered(profile, labels).withColumn("c", F.col("cluster"))
+    both = _with_distance(graph.pairs(nodes, "c", "phi", keys=("tumor_id", "cluster")))
+    inner = both.groupBy("tumor_id", F.col("c_u").alias("cluster")).agg(F.max("d").alias("d"))
     return labels.select("tumor_id", "cluster").distinct().join(inner, ["tumor_id", "cluster"], "left").select("tumor_id", "cluster", F.coalesce("d", F.lit(0.0)).alias("diameter"))
 
 
 def cross_distances(profile: DataFrame, labels: DataFrame) -> DataFrame:
     """(tumor_id, a, b, farthest, nearest) for every two clusters a < b of a tumor."""
-    cross = _pair_distance(profile, labels).filter("cluster_u <> cluster_v")
+    cross = _with_distance(graph.pairs(_clustered(profile, labels), "cluster", "phi").filter("cluster_u <> cluster_v"))
     return cross.groupBy("tumor_id", F.least("cluster_u", "cluster_v").alias("a"), F.greatest("cluster_u", "cluster_v").alias("b")).agg(F.max("d").alias("farthest"), F.min("d").alias("nearest"))
 
 
@@ -37,20 +43,25 @@ def mergeable(profile: DataFrame, labels: DataFrame, tolerance: float) -> DataFr
     return labels.select("tumor_id").distinct().join(found, "tumor_id", "left").select("tumor_id", F.coalesce("mergeable", F.lit(False)).alias("mergeable"))
 
 
+def ensure_checkpoints(spark: SparkSession) -> None:
+    """Sets the session's checkpoint folder from ``spark.checkpoint.dir``; in local mode a new folder will do."""
+    if spark.sparkContext.getCheckpointDir():
+        return
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not re.fullmatch(r"local(\[[\d*, ]+\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = tempfile.mkdtemp(prefix="checkpoint-")
+    spark.sparkContext.setCheckpointDir(at)
+
+
 def components(profile: DataFrame, tolerance: float, max_rounds: int = 60) -> DataFrame:
     """(tumor_id, mutation_id, component): the least mutation id that a chain of pairs within the tolerance reaches.
 
     Each round takes the least label among the neighbours, then the label of that label; lineage is cut by checkpoints in the
     session's checkpoint folder.
     """
-    spark = profile.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        at = spark.conf.get("spark.checkpoint.dir", None)
-        if not at:
-            if not re.fullmatch(r"local(\[[\d*, ]+\])?", spark.sparkContext.master):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            at = tempfile.mkdtemp(prefix="checkpoint-")
-        spark.sparkContext.setCheckpointDir(at)
+    ensure_checkpoints(profile.sparkSession)
     near = graph.distances(profile).filter(F.col("distance") <= tolerance).select("tumor_id", "u", "v")
     near = near.union(near.select("tumor_id", F.col("v").alias("u"), F.col("u").alias("v"))).checkpoint()
     now = profile.select("tumor_id", F.col("mutation_id").alias("u"), F.col("mutation_id").alias("c")).distinct()
@@ -68,20 +79,28 @@ def components(profile: DataFrame, tolerance: float, max_rounds: int = 60) -> Da
 
 
 def complete_link_labels(phi: np.ndarray, tolerance: float) -> np.ndarray:
-    """Greedy blocks: rows in lexicographic order, each to the first block where it is within the tolerance of all members."""
-    labels, blocks = np.full(len(phi), -1), []
-    for i in np.lexsort((np.arange(len(phi)), *phi.T[::-1])).tolist():
-        for k, members in enumerate(blocks):
-            if np.linalg.norm(phi[members] - phi[i], axis=1).max() <= tolerance:
-                members.append(i)
-                labels[i] = k
-                break
+    """Blocks of diameter within the tolerance: rows join, in lexicographic order, the oldest block that can take them.
+
+    Blocks are ruled out, or in, by the nearest and the furthest point of their bounding boxes, all at once; distances to
+    members are taken for those in between only. Blocks are numbered by their first rows.
+    """
+    n = len(phi)
+    order, owner, n_blocks = np.lexsort(phi.T[::-1]), np.empty(n, dtype=np.int64), 0  # a stable sort: equal rows in their own order
+    low, high = np.empty_like(phi), np.empty_like(phi)
+    for done, i in enumerate(order):
+        x, lo, hi = phi[i], low[:n_blocks], high[:n_blocks]
+        near = np.linalg.norm(np.maximum(np.maximum(lo - x, x - hi), 0.0), axis=1)
+        far = np.linalg.norm(np.maximum(np.abs(x - lo), np.abs(x - hi)), axis=1)
+        earlier = order[:done]
+        block = next((k for k in np.flatnonzero(near <= tolerance) if far[k] <= tolerance or np.linalg.norm(phi[earlier[owner[earlier] == k]] - x, axis=1).max() <= tolerance), n_blocks)
+        if block == n_blocks:
+            low[block], high[block] = x, x
+            n_blocks += 1
         else:
-            labels[i] = len(blocks)
-            blocks.append([i])
-    first = {k: int(np.flatnonzero(labels == k)[0]) for k in range(len(blocks))}
-    rank = {k: r for r, k in enumerate(sorted(first, key=first.get))}
-    return np.array([rank[x] for x in labels.tolist()], dtype=np.int64)
+            low[block], high[block] = np.minimum(low[block], x), np.maximum(high[block], x)
+        owner[i] = block
+    _, first, back = np.unique(owner, return_index=True, return_inverse=True)
+    return np.argsort(np.argsort(first))[back.reshape(-1)].astype(np.int64)
 
 
 def complete_link(profile: DataFrame, tolerance: float) -> DataFrame:

@@ -1,7 +1,7 @@
 """Fixed-partition refits on a grid of centers, and costs of mutations at given centers.
 
 Reads of a unit enter its loss only through counts; the probabilities of its paths depend on segment, region and center.
-They are computed once for each of those (a small table) and joined to the units.
+They are computed once for each segment and region, as an array over centers, and joined to the units.
 """
 
 from __future__ import annotations
@@ -20,30 +20,49 @@ def grid_column(points: int = GRID, lower: float = L.EPS, upper: float = 1.0):
     return F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.lit(lower) + i.cast("double") * F.lit((upper - lower) / (points - 1)))
 
 
-def emissions(units: DataFrame, centers) -> DataFrame:
-    """(tumor_id, sample_id, segment_id, beta, e): for each distinct segment, log p, log(1 - p) and log prior of each path."""
-    seg = units.select("tumor_id", "sample_id", "segment_id", "scaling", "paths").dropDuplicates(["tumor_id", "sample_id", "segment_id", "scaling"])
-    seg = seg.withColumn("beta", F.explode(centers))
+def _emission(beta):
+    """log p, log(1 - p) and log prior of each path at one center."""
 
     def one(p):
-        q = L.probability(p, F.col("beta"), F.col("scaling"))
+        q = L.probability(p, beta, F.col("scaling"))
         return F.struct(F.ln(q).alias("lp"), F.ln(1.0 - q).alias("lq"), p["log_prior"].alias("lw"))
 
-    return seg.select("tumor_id", "sample_id", "segment_id", "scaling", "beta", F.transform("paths", one).alias("e"))
+    return F.transform("paths", one)
 
 
-def _unit_loss():
-    return -L.log_sum_exp(F.transform("e", lambda x: F.col("alt") * x["lp"] + F.col("nonalt") * x["lq"] + x["lw"]))
+SEGMENT = ["tumor_id", "sample_id", "segment_id", "scaling"]
+
+
+def _segments(units: DataFrame) -> DataFrame:
+    return units.select(*SEGMENT, "paths").dropDuplicates(SEGMENT)
+
+
+def _unit_loss(terms):
+    return -L.log_sum_exp(F.transform(terms, lambda x: F.col("alt") * x["lp"] + F.col("nonalt") * x["lq"] + x["lw"]))
+
+
+def unit_losses(units: DataFrame, points: int = GRID) -> DataFrame:
+    """(tumor_id, mutation_id, sample_id, losses): the losses of observed units at every center of the grid."""
+    table = _segments(units).select(*SEGMENT, F.transform(grid_column(points), _emission).alias("es"))
+    rows = units.filter("observed").select("tumor_id", "mutation_id", "sample_id", "segment_id", "scaling", "alt", "nonalt").join(table, SEGMENT)
+    return rows.select("tumor_id", "mutation_id", "sample_id", F.transform("es", _unit_loss).alias("losses"))
 
 
 def loss_grid(units: DataFrame, labels: DataFrame | None = None, points: int = GRID) -> DataFrame:
     """(tumor_id, cluster, sample_id, beta, loss): the loss of a cluster's observed units at each center of the grid. Without
-    labels a tumor is one cluster."""
-    table = emissions(units, grid_column(points))
+    labels a tumor is one cluster.
+
+    The grid stays an array in each unit's row and is summed center by center as columns, so rows are neither joined nor
+    shuffled once for each center.
+    """
+    table = _segments(units).select(*SEGMENT, F.transform(grid_column(points), _emission).alias("es"))
     rows = units.filter("observed")
     rows = rows.withColumn("cluster", F.lit(0)) if labels is None else rows.join(labels.select("tumor_id", "mutation_id", "cluster"), ["tumor_id", "mutation_id"])
-    rows = rows.select("tumor_id", "cluster", "sample_id", "segment_id", "scaling", "alt", "nonalt").join(table, ["tumor_id", "sample_id", "segment_id", "scaling"])
-    return rows.withColumn("loss", _unit_loss()).groupBy("tumor_id", "cluster", "sample_id", "beta").agg(F.sum("loss").alias("loss"))
+    rows = rows.select("tumor_id", "cluster", "sample_id", "segment_id", "scaling", "alt", "nonalt").join(table, SEGMENT)
+    rows = rows.select("tumor_id", "cluster", "sample_id", F.transform("es", _unit_loss).alias("losses"))
+    sums = rows.groupBy("tumor_id", "cluster", "sample_id").agg(*[F.sum(F.get("losses", F.lit(i))).alias(f"s{i}") for i in range(points)])
+    at = F.arrays_zip(grid_column(points).alias("beta"), F.array(*[f"s{i}" for i in range(points)]).alias("loss"))
+    return sums.select("tumor_id", "cluster", "sample_id", F.explode(at).alias("g")).select("tumor_id", "cluster", "sample_id", F.col("g.beta").alias("beta"), F.col("g.loss").alias("loss"))
 
 
 def best_centers(grid: DataFrame, decimals: int = 9) -> DataFrame:
@@ -68,10 +87,16 @@ def refined_centers(units: DataFrame, centers: DataFrame, spacing: float, labels
 
 
 def assignment_cost(units: DataFrame, centers: DataFrame) -> DataFrame:
-    """(tumor_id, mutation_id, cluster, cost): a mutation's loss at every cluster's centers."""
-    rows = units.join(centers.select("tumor_id", "cluster", "sample_id", F.col("beta").alias("center")), ["tumor_id", "sample_id"])
-    loss = F.when(F.col("observed"), -L.log_sum_exp(L.log_terms(phi="center"))).otherwise(F.lit(0.0))
-    return rows.withColumn("loss", loss).groupBy("tumor_id", "mutation_id", "cluster").agg(F.sum("loss").alias("cost"))
+    """(tumor_id, mutation_id, cluster, cost): a mutation's loss at every cluster's centers.
+
+    The path terms of all clusters are made once for each segment; a unit's row holds its losses as an array.
+    """
+    every = centers.groupBy("tumor_id", "sample_id").agg(F.array_sort(F.collect_list(F.struct("cluster", "beta"))).alias("cs"))
+    table = _segments(units).join(every, ["tumor_id", "sample_id"]).select(*SEGMENT, "cs", F.transform("cs", lambda c: _emission(c["beta"])).alias("es"))
+    rows = units.select(*SEGMENT, "mutation_id", "observed", "alt", "nonalt").join(table, SEGMENT)
+    losses = F.zip_with("cs", "es", lambda c, e: F.struct(c["cluster"].alias("cluster"), F.when(F.col("observed"), _unit_loss(e)).otherwise(F.lit(0.0)).alias("loss")))
+    rows = rows.select("tumor_id", "mutation_id", F.explode(losses).alias("l"))
+    return rows.groupBy("tumor_id", "mutation_id", F.col("l.cluster").alias("cluster")).agg(F.sum("l.loss").alias("cost"))
 
 
 def leave_one_out(labels: DataFrame, alpha: float = 1.0) -> DataFrame:

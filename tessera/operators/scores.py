@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.likelihood import log_factorial
+from tessera.functions.special import log_factorial, log_gamma
 
 WEIGHT = 0.7
 
@@ -21,11 +21,18 @@ def cluster_sizes(labels: DataFrame) -> DataFrame:
     return labels.groupBy("tumor_id", "cluster").agg(F.count("*").alias("size"))
 
 
-def partition_log_mass(sizes: DataFrame) -> DataFrame:
-    """(tumor_id, k, n, log_mass): Dirichlet mass of a partition with concentration 1, all labelings of it counted."""
-    out = sizes.groupBy("tumor_id").agg(F.count("*").alias("k"), F.sum("size").alias("n"), F.sum(log_factorial("size")).alias("inner"))
-    mass = log_factorial("k") + log_factorial(F.col("k") - 1) + F.col("inner") - log_factorial(F.col("n") + F.col("k") - 1)
-    return out.select("tumor_id", "k", "n", mass.alias("log_mass"))
+def partition_log_mass(sizes: DataFrame, alpha: float = 1.0) -> DataFrame:
+    """(tumor_id, k, n, log_mass, log_mass_bound): Dirichlet mass of a partition with concentration ``alpha``, all labelings of it
+    counted, and a bound on the rounding of its terms."""
+    if not alpha > 0:
+        raise ValueError("alpha must be positive")
+    own = log_gamma(F.col("size") + alpha) - log_gamma(F.lit(alpha))
+    out = sizes.groupBy("tumor_id").agg(F.count("*").alias("k"), F.sum("size").alias("n"), F.sum(own).alias("inner"), F.sum(F.abs(own)).alias("spread"))
+    terms = [log_factorial("k"), log_gamma(F.col("k") * alpha), F.col("inner"), -log_gamma(F.col("n") + F.col("k") * alpha)]
+    size = F.col("spread")
+    for t in (terms[0], terms[1], terms[3]):
+        size = size + F.abs(t)
+    return out.select("tumor_id", "k", "n", (terms[0] + terms[1] + terms[2] + terms[3]).alias("log_mass"), (64 * 2.0**-52 * (F.col("k") + 4) * size).alias("log_mass_bound"))
 
 
 def bic(counts: DataFrame, fits: DataFrame) -> DataFrame:
@@ -34,9 +41,9 @@ def bic(counts: DataFrame, fits: DataFrame) -> DataFrame:
     return fits.join(counts, "tumor_id").select("tumor_id", "loglik", "k", df.alias("df"), "n_eff", (-2.0 * F.col("loglik") + df * F.ln(F.col("n_eff").cast("double"))).alias("bic"))
 
 
-def dirichlet_score(counts: DataFrame, fits: DataFrame, sizes: DataFrame, weight: float = WEIGHT) -> DataFrame:
+def dirichlet_score(counts: DataFrame, fits: DataFrame, sizes: DataFrame, weight: float = WEIGHT, alpha: float = 1.0) -> DataFrame:
     """BIC less twice the weighted log mass of the partition."""
-    out = bic(counts, fits).join(partition_log_mass(sizes).select("tumor_id", "log_mass"), "tumor_id")
+    out = bic(counts, fits).join(partition_log_mass(sizes, alpha).select("tumor_id", "log_mass", "log_mass_bound"), "tumor_id")
     return out.withColumn("score", F.col("bic") - 2.0 * weight * F.col("log_mass"))
 
 
@@ -48,8 +55,10 @@ def canonical_labels(labels: DataFrame) -> DataFrame:
 
 
 def signature(labels: DataFrame) -> DataFrame:
-    """(tumor_id, signature): clusters and a digest of their sorted blocks, the same however clusters are named."""
-    blocks = labels.groupBy("tumor_id", "cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list("mutation_id")), lambda m: m.cast("string")), ",").alias("block"))
+    """(tumor_id, signature): clusters and a digest of their blocks, the same however clusters are named. Blocks are digested
+    first, so no row holds all mutations of a tumor."""
+    block = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("mutation_id")), lambda m: m.cast("string")), ","), 256)
+    blocks = labels.groupBy("tumor_id", "cluster").agg(block.alias("block"))
     return blocks.groupBy("tumor_id").agg(F.concat_ws(":", F.count("*").cast("string"), F.sha2(F.array_join(F.array_sort(F.collect_list("block")), ";"), 256)).alias("signature"))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessera.functions import likelihood as L
 from tessera.operators import copynumber as cn
 from tessera.operators import graph, kkt, partitions, paths, refit, scores, validate
-from tessera.sources.cohort_view import LONG_SQL, long_table
+from tessera.sources.cohort_view import LONG_SQL, REGIONS, long_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -120,6 +120,10 @@ def labels(rows: DataFrame) -> DataFrame:
     return rows.select("tumor_id", "mutation_id", "cluster").distinct()
 
 
+def cohort_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels(fitted(spark, sf_dir))
+
+
 def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fitted(spark, sf_dir).withColumn("terms", L.log_terms())
     return rows.withColumn("post", L.posterior())
@@ -333,8 +337,12 @@ def edges_adaptive(spark, sf_dir):
 
 
 def _diffs(spark, sf_dir):
-    rows = fitted(spark, sf_dir)
-    return graph.differences(rows, graph.uniform_edges(rows))
+    return graph.uniform_differences(fitted(spark, sf_dir))
+
+
+def _norms(spark, sf_dir):
+    """Edges of the uniform graph with the lengths of their differences, as one-element arrays for what takes arrays."""
+    return graph.uniform_norms(fitted(spark, sf_dir), len(REGIONS)).select("tumor_id", "u", "v", "w", F.array("norm").alias("diff"))
 
 
 @query((*FIT_SQL, "edge"), "SELECT tumor_id, u, v, CAST(i - 1 AS INT) AS region, round(diff[i], 6) + 0.0 AS diff FROM dist, unnest(range(1, len(diff) + 1)) t(i)")
@@ -354,10 +362,6 @@ def analytic_dual(spark, sf_dir):
     return _dual(spark, sf_dir).select("tumor_id", "u", "v", F.posexplode("dual").alias("region", "dual")).withColumn("dual", _r("dual"))
 
 
-def _n_regions(spark, sf_dir) -> int:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_returnflag").distinct().count()
-
-
 PARTS["adj"] = f"""adj AS (SELECT tumor_id, mutation_id, i, SUM(y) AS y FROM (
   SELECT tumor_id, u AS mutation_id, i, diff[i] * {_DUAL} AS y FROM dist, unnest(range(1, len(diff) + 1)) t(i)
   UNION ALL SELECT tumor_id, v, i, -diff[i] * {_DUAL} FROM dist, unnest(range(1, len(diff) + 1)) t(i)) GROUP BY ALL)"""
@@ -365,22 +369,22 @@ PARTS["adj"] = f"""adj AS (SELECT tumor_id, mutation_id, i, SUM(y) AS y FROM (
 
 @query((*FIT_SQL, "edge", "adj"), "SELECT tumor_id, mutation_id, CAST(i - 1 AS INT) AS region, round(y, 6) + 0.0 AS adj FROM adj")
 def edge_adjoint(spark, sf_dir):
-    return graph.adjoint(_dual(spark, sf_dir), _n_regions(spark, sf_dir)).select("tumor_id", "mutation_id", F.posexplode("adj").alias("region", "adj")).withColumn("adj", _r("adj"))
+    return graph.uniform_flow(fitted(spark, sf_dir), len(REGIONS)).select("tumor_id", "mutation_id", F.posexplode("adj").alias("region", "adj")).withColumn("adj", _r("adj"))
 
 
 @query((*FIT_SQL, "edge"), "SELECT tumor_id, round(2 * SUM(w * nrm), 6) AS penalty FROM dist GROUP BY tumor_id")
 def pairwise_penalty(spark, sf_dir):
-    return graph.penalty(_diffs(spark, sf_dir), 2.0).withColumn("penalty", _r("penalty"))
+    return graph.penalty(_norms(spark, sf_dir), 2.0).withColumn("penalty", _r("penalty"))
 
 
 @query((*FIT_SQL, "edge"), "SELECT tumor_id, MAX(n) AS degree FROM (SELECT tumor_id, x, COUNT(*) AS n FROM (SELECT tumor_id, unnest([u, v]) AS x FROM dist) GROUP BY ALL) GROUP BY tumor_id")
 def degree_bound(spark, sf_dir):
-    return graph.degree_bound(graph.uniform_edges(fitted(spark, sf_dir)))
+    return graph.complete_degree(fitted(spark, sf_dir))
 
 
 @query((*FIT_SQL, "edge"), "SELECT tumor_id, COUNT(*) FILTER (nrm <= 2e-1) AS fused, COUNT(*) FILTER (nrm > 2e-1) AS apart FROM dist GROUP BY tumor_id")
 def edge_activity(spark, sf_dir):
-    return graph.activity(_diffs(spark, sf_dir), 0.2)
+    return graph.activity(_norms(spark, sf_dir), 0.2)
 
 
 @query((*FIT_SQL, "edge"), "SELECT tumor_id, u, v, CAST(i - 1 AS INT) AS region, round(diff[i] / greatest(1, nrm / w), 6) + 0.0 AS dual FROM dist, unnest(range(1, len(diff) + 1)) t(i)")
@@ -389,14 +393,22 @@ def dual_ball_projection(spark, sf_dir):
     return rows.select("tumor_id", "u", "v", F.posexplode(kkt.onto_ball()).alias("region", "dual")).withColumn("dual", _r("dual"))
 
 
-@query((*FIT_SQL, "up", "edge", "adj"), """SELECT tumor_id, round(MAX(abs(v) / greatest(1, abs(g) + abs(y))), 6) AS stationarity FROM (
-  SELECT tumor_id, g, y, CASE WHEN phi = 1e-6 THEN least(g + y, 0) WHEN phi = 1 THEN greatest(g + y, 0) ELSE g + y END AS v FROM (
+PARTS["res"] = """res AS (SELECT tumor_id, MAX(abs(v) / greatest(1, abs(g) + abs(y))) AS stationarity, MAX(greatest(1e-6 - phi, phi - 1, 0)) / 2 AS box_residual FROM (
+  SELECT tumor_id, g, y, phi, CASE WHEN phi = 1e-6 THEN least(g + y, 0) WHEN phi = 1 THEN greatest(g + y, 0) ELSE g + y END AS v FROM (
     SELECT tumor_id, mutation_id, sample_id, MAX(phi) AS phi, row_number() OVER (PARTITION BY tumor_id, mutation_id ORDER BY sample_id) AS i,
-      CASE WHEN bool_and(count_observed) THEN -SUM(post * dq * (alt / q - nonalt / (1 - q))) ELSE 0e0 END AS g FROM upp GROUP BY tumor_id, mutation_id, sample_id) JOIN adj USING (tumor_id, mutation_id, i)) GROUP BY tumor_id""")
+      CASE WHEN bool_and(count_observed) THEN -SUM(post * dq * (alt / q - nonalt / (1 - q))) ELSE 0e0 END AS g FROM upp GROUP BY tumor_id, mutation_id, sample_id) JOIN adj USING (tumor_id, mutation_id, i)) GROUP BY tumor_id),
+er AS (SELECT tumor_id, MAX(CASE WHEN pn >= w THEN CASE WHEN nrm > 1e-6 THEN 0e0 ELSE w * nrm / greatest(pn, 1e-300) END ELSE nrm END / greatest(1, w)) AS edge_residual
+  FROM (SELECT *, CASE WHEN nrm > 1e-6 THEN nrm + w ELSE nrm END AS pn FROM dist) GROUP BY tumor_id)"""
+
+
+@query((*FIT_SQL, "up", "edge", "adj", "res"), """SELECT tumor_id, round(stationarity, 6) + 0.0 AS stationarity, round(edge_residual, 6) + 0.0 AS edge_residual, 0e0 AS ball_residual, round(box_residual, 6) + 0.0 AS box_residual,
+  round(greatest(stationarity, edge_residual, box_residual), 6) + 0.0 AS kkt FROM res JOIN er USING (tumor_id)""")
 def kkt_residual(spark, sf_dir):
-    rows = terms(spark, sf_dir).withColumn("gradient", L.gradient()).select(*KEY, "phi", "gradient", F.lit(L.EPS).alias("lower"), F.col("phi_upper").alias("upper"))
-    out = kkt.audit(rows, _dual(spark, sf_dir), _n_regions(spark, sf_dir))
-    return out.select("tumor_id", _r("stationarity").alias("stationarity"))
+    rows = terms(spark, sf_dir).withColumn("gradient", L.gradient())
+    units_ = rows.select(*KEY, "phi", "gradient", F.lit(L.EPS).alias("lower"), F.col("phi_upper").alias("upper"))
+    profile = fitted(spark, sf_dir)
+    out = kkt.audit_of(units_, graph.uniform_flow(profile, len(REGIONS)), kkt.uniform_maxima(profile, len(REGIONS)))
+    return out.select("tumor_id", *[_r(c).alias(c) for c in ("stationarity", "edge_residual", "ball_residual", "box_residual", "kkt")])
 
 
 # --- refits and assignment --------------------------------------------------------------------------------------------------
@@ -489,7 +501,7 @@ def canonical_labels(spark, sf_dir):
     return scores.canonical_labels(labels(fitted(spark, sf_dir)))
 
 
-@query(FIT_SQL, f"""SELECT tumor_id, COUNT(*) || ':' || sha256(string_agg(block, ';' ORDER BY block)) AS signature FROM (SELECT tumor_id, cluster, string_agg(CAST(mutation_id AS VARCHAR), ',' ORDER BY mutation_id) AS block FROM {_LAB} GROUP BY ALL) GROUP BY tumor_id""")
+@query(FIT_SQL, f"""SELECT tumor_id, COUNT(*) || ':' || sha256(string_agg(block, ';' ORDER BY block)) AS signature FROM (SELECT tumor_id, cluster, sha256(string_agg(CAST(mutation_id AS VARCHAR), ',' ORDER BY mutation_id)) AS block FROM {_LAB} GROUP BY ALL) GROUP BY tumor_id""")
 def partition_signature(spark, sf_dir):
     return scores.signature(labels(fitted(spark, sf_dir)))
 
@@ -571,7 +583,7 @@ def mutation_clusters(spark, sf_dir):
     from tessera.plans import report
 
     rows = fitted(spark, sf_dir)
-    out = report.mutation_clusters(labels(rows), _centers(rows), ["A", "N", "R"])
+    out = report.mutation_clusters(labels(rows), _centers(rows), list(REGIONS))
     return out.withColumns({f"phi_{r}": _r(f"phi_{r}") for r in "ANR"})
 
 
@@ -581,7 +593,7 @@ def cluster_centers(spark, sf_dir):
     from tessera.plans import report
 
     rows = fitted(spark, sf_dir)
-    out = report.cluster_centers(labels(rows), _centers(rows), ["A", "N", "R"])
+    out = report.cluster_centers(labels(rows), _centers(rows), list(REGIONS))
     return out.withColumns({f"phi_{r}": _r(f"phi_{r}") for r in "ANR"})
 
 

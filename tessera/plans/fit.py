@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import copynumber, kernels, paths
+from tessera.operators import copynumber, kernels, partitions, paths
 from tessera.plans import report
 from tessera.plans.config import FitConfig
 
@@ -24,13 +24,13 @@ def prepared(long: DataFrame, config: FitConfig = FitConfig()) -> DataFrame:
 def fit_cohort(long: DataFrame, config: FitConfig = FitConfig()) -> dict[str, DataFrame]:
     """mutation_clusters, cluster_centers, mutation_region_multiplicity and summary of every tumor.
 
-    The models are written once (checkpoint), since all four tables read them.
+    The models are written once, since all four tables read them: as a checkpoint in ``spark.checkpoint.dir``, which a cluster
+    must name; in local mode a folder is made where it is unset.
     """
     units = prepared(long, config)
-    options = {"tolerance": config.partition_tolerance, "explore": config.explore, "refine": config.refine, "kkt_tolerance": config.kkt_tolerance}
-    models = kernels.selected_models(units, **options)
-    if long.sparkSession.sparkContext.getCheckpointDir():
-        models = models.checkpoint()
+    options = {"tolerance": config.partition_tolerance, "explore": config.explore, "refine": config.refine, "kkt_tolerance": config.kkt_tolerance, "code_weight": config.code_weight}
+    partitions.ensure_checkpoints(long.sparkSession)
+    models = kernels.selected_models(units, **options).checkpoint()
     labels = models.select("tumor_id", "mutation_id", "cluster").distinct()
     centers = models.select("tumor_id", "cluster", "sample_id", F.col("phi").alias("beta")).distinct()
     regions = sorted(r.sample_id for r in units.select("sample_id").distinct().collect())  # columns of the wide tables

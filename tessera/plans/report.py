@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import likelihood as L
-from tessera.operators import paths
+from tessera.functions.special import finite_or_null
+from tessera.operators import paths, scores
 
 
 def _wide(centers: DataFrame, regions: list[str]) -> DataFrame:
@@ -44,8 +45,30 @@ def mutation_regions(units: DataFrame, labels: DataFrame, centers: DataFrame, ma
     )
 
 
-def write_results(outdir: str, labels: DataFrame, centers: DataFrame, units: DataFrame, regions: list[str]) -> None:
-    """The three result tables as tab-separated files below ``outdir``, one folder for each tumor."""
-    tables = {"mutation_clusters": mutation_clusters(labels, centers, regions), "cluster_centers": cluster_centers(labels, centers, regions), "mutation_region_multiplicity": mutation_regions(units, labels, centers)}
+def summary(candidates: DataFrame, weight: float = scores.WEIGHT, alpha: float = 1.0) -> DataFrame:
+    """One row a tumor about its selected candidate, from candidates with their scores: of each signature the first, of these the
+    best score, then fewest clusters. Numbers that aren't finite are null. The penalty path is bounded, so no selection is
+    ever proved best."""
+    n = candidates.groupBy("tumor_id").agg(F.count("*").alias("num_candidates"), F.count_if("is_raw").alias("num_candidates_raw"))
+    rows = candidates.withColumn("_s", F.round("score", 4))
+    best = scores.best_per(scores.best_per(rows, ["tumor_id", "signature"], ["_s", "candidate_id"]), ["tumor_id"], ["_s", "k", "candidate_id"]).join(n, "tumor_id")
+    mass = F.col("log_mass")
+    return best.select(
+        "tumor_id", F.lit("provisional_unresolved").alias("selection_status"), F.col("candidate_id").alias("selected_candidate_id"), F.when(F.col("is_raw"), "raw_fusion").otherwise("direct_partition").alias("selected_candidate_family"),
+        finite_or_null("lam").alias("selected_lambda"), F.col("k").alias("selected_n_clusters"), F.col("signature").alias("selected_partition_signature"), F.lit("fixed_partition_dirichlet_score").alias("selection_score_name"),
+        finite_or_null("score").alias("selection_score"), finite_or_null("loglik").alias("selection_loglik"), F.col("df").alias("selection_df"), F.col("n_eff").alias("selection_n_eff"),
+        finite_or_null("penalty").alias("selection_penalty"), finite_or_null(mass).alias("selection_assignment_log_evidence"), F.lit(float(weight)).alias("selection_assignment_code_weight"),
+        finite_or_null(-2.0 * weight * mass).alias("selection_assignment_penalty"), F.lit(float(alpha)).alias("selection_assignment_dirichlet_alpha"), finite_or_null("kkt").alias("selected_kkt_residual"), "num_candidates", "num_candidates_raw",
+    )
+
+
+def write_tables(tables: dict[str, DataFrame], outdir: str) -> None:
+    """Result tables as tab-separated files below ``outdir``, one folder for each tumor; missing values as points."""
     for name, table in tables.items():
         table.repartition("tumor_id").write.partitionBy("tumor_id").option("sep", "\t").option("header", True).option("nullValue", ".").mode("overwrite").csv(f"{outdir}/{name}")
+
+
+def write_results(outdir: str, labels: DataFrame, centers: DataFrame, units: DataFrame, regions: list[str], major_prior: float = 0.5) -> None:
+    """The three result tables of given labels and centers, written as ``write_tables`` does."""
+    regional = mutation_regions(units, labels, centers, major_prior)
+    write_tables({"mutation_clusters": mutation_clusters(labels, centers, regions), "cluster_centers": cluster_centers(labels, centers, regions), "mutation_region_multiplicity": regional}, outdir)

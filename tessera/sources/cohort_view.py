@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 STATES = [(0, "s1", 1.0, 1, 1), (1, "s1", 0.4, 1, 1), (1, "s2", 0.6, 2, 1), (2, "s1", 0.3, 1, 1), (2, "s2", 0.7, 2, 2)]
 LEAST_DEPTH = 40
+#: The regions of the view: the return flags.
+REGIONS = ("A", "N", "R")
 
 
 def long_table(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from tessera.functions import likelihood as L
 from tessera.operators import kernels, paths, refit, scores, validate
-from tessera.plans import cohort
 from tests.compare_rows import compare, views
 
+cohort = entry._registry()
+
 SF = "/root/testdata/sf0.001"
 
 
