@@ -5,6 +5,18 @@ from __future__ import annotations
 import argparse
 
 
+FIT_NUMBERS = {"major-prior": float, "dosage-penalty": float, "partition-tolerance": float, "code-weight": float, "kkt-tolerance": float, "explore": int, "refine": int}
+
+
+def _score(value: str) -> str:
+    from tessera.plans.config import score_name
+
+    try:
+        return score_name(value)
+    except ValueError as e:
+        raise argparse.ArgumentTypeError(str(e)) from None
+
+
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="tessera", description=__doc__)
     sub = out.add_subparsers(dest="command", required=True)
@@ -12,8 +24,10 @@ def parser() -> argparse.ArgumentParser:
     fit.add_argument("input", help="path or pattern of long tables")
     fit.add_argument("outdir")
     fit.add_argument("--profile", default="balanced")
-    for name in ("major-prior", "dosage-penalty", "partition-tolerance"):
-        fit.add_argument(f"--{name}", type=float)
+    for name, kind in FIT_NUMBERS.items():
+        fit.add_argument(f"--{name}", type=kind)
+    fit.add_argument("--selection-score", type=_score)
+    fit.add_argument("--skip-outputs", action="store_true", help="fit and show the summary, but write no tables")
     fit.add_argument("--unsupported", choices=("mask", "error"))
     sim = sub.add_parser("simulate", help="write long tables with known truth")
     sim.add_argument("outdir")
@@ -27,20 +41,30 @@ def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     from pyspark.sql import SparkSession
 
+    from tessera.operators import fingerprints
     from tessera.plans import config, fit, report, simulate
     from tessera.sources import long_text
 
     spark = SparkSession.builder.appName("tessera").getOrCreate()
     if args.command == "fit":
-        settings = config.resolve(args.profile, major_prior=args.major_prior, dosage_penalty=args.dosage_penalty, partition_tolerance=args.partition_tolerance, unsupported=args.unsupported)
-        report.write_tables(fit.fit_cohort(long_text.load(spark, args.input), settings), args.outdir)
+        given = {name.replace("-", "_"): getattr(args, name.replace("-", "_")) for name in FIT_NUMBERS}
+        settings = config.resolve(args.profile, selection_score=args.selection_score, unsupported=args.unsupported, **given)
+        results = fit.fit_cohort(long_text.load(spark, args.input), settings)
+        if args.skip_outputs:
+            results["summary"].show(truncate=False)
+        else:
+            report.write_tables(results, args.outdir)
     else:
         given = {k: getattr(args, k) for k in ("mutations", "regions", "clones", "segments", "depth", "purity", "seed") if getattr(args, k) is not None}
-        for name, table in simulate.simulate(spark, args.tumors, simulate.SimulationConfig(**given)).items():
+        settings = simulate.SimulationConfig(**given)
+        tables = simulate.simulate(spark, args.tumors, settings)
+        for name, table in (tables | simulate.truth_tables(tables, settings)).items():
             if name == "long":
                 long_text.write(table, f"{args.outdir}/long")
             else:
-                table.write.mode("overwrite").option("sep", "\t").option("header", True).csv(f"{args.outdir}/{name}")
+                table.write.mode("overwrite").json(f"{args.outdir}/{name}")
+        files = fingerprints.file_digests(spark, f"{args.outdir}/long")
+        fingerprints.manifest(files, tumors=args.tumors, **given).write.mode("overwrite").text(f"{args.outdir}/manifest")
 
 
 if __name__ == "__main__":

@@ -91,13 +91,18 @@ def number_text(column):
 
 def write(long: DataFrame, path: str, metadata: dict[str, str] | None = None) -> None:
     """One file for each tumor below ``path``/tumor_id=…: sorted metadata, header, rows in the order of mutation, region and
-    state; extra columns follow the twelve. A tumor's rows are gathered in one task: a file is one tumor."""
+    state; extra columns follow the twelve. A file is one tumor, so its lines are sorted in one task, which may spill; no row
+    holds more than a line."""
     extra = [c for c in long.columns if c not in COLUMNS and c != "tumor_id"]
     numbers = {"alt_count", "ref_count", "purity", "normal_cn", "cn_state_fraction", "allele_a_cn", "allele_b_cn"}
     cells = [number_text(c) if c in numbers else F.when(F.col(c), "1").otherwise("0") if c == "count_observed" else F.coalesce(F.col(c).cast("string"), F.lit(".")) for c in COLUMNS + extra]
-    rows = long.select("tumor_id", F.struct(F.col("mutation_id").cast("string").alias("m"), F.col("sample_id").alias("s"), F.col("cn_state_id").alias("c"), F.concat_ws("\t", *cells).alias("line")).alias("r"))
+    order = [F.col("mutation_id").cast("string").alias("m"), F.col("sample_id").cast("string").alias("s"), F.col("cn_state_id").cast("string").alias("c")]
+    rows = long.select("tumor_id", F.lit(2).alias("part"), *order, F.concat_ws("\t", *cells).alias("value"))
     fixed = {"schema": SCHEMA_ID, **DEFAULTS, **(metadata or {})}
-    head = F.array_sort(F.array(*[F.lit(f"##{k}={v}") for k, v in fixed.items() if k != "tumor_id"], F.concat(F.lit("##tumor_id="), F.col("tumor_id"))))
-    files = rows.groupBy("tumor_id").agg(F.array_sort(F.collect_list("r")).alias("r"))
-    text = F.array_join(F.concat(head, F.array(F.lit("\t".join(COLUMNS + extra))), F.transform("r", lambda x: x["line"])), "\n")
-    files.select("tumor_id", text.alias("value")).write.partitionBy("tumor_id").mode("overwrite").text(path)
+    head = F.array(*[F.lit(f"##{k}={v}") for k, v in fixed.items() if k != "tumor_id"], F.concat(F.lit("##tumor_id="), F.col("tumor_id")))
+    none = [F.lit("").alias("s"), F.lit("").alias("c")]
+    tumors = long.select("tumor_id").distinct()
+    before = tumors.select("tumor_id", F.explode(head).alias("value")).select("tumor_id", F.lit(0).alias("part"), F.col("value").alias("m"), *none, "value")
+    names = tumors.select("tumor_id", F.lit(1).alias("part"), F.lit("").alias("m"), *none, F.lit("\t".join(COLUMNS + extra)).alias("value"))
+    lines = rows.union(before).union(names).repartition("tumor_id").sortWithinPartitions("tumor_id", "part", "m", "s", "c")
+    lines.select("tumor_id", "value").write.partitionBy("tumor_id").mode("overwrite").text(path)
