@@ -51,7 +51,8 @@ class Frame:
     mono: bool
     length: int
     samples: int
-    side: int  # bytes of side information that the checksum covers (layer III), else 0
+    side: int  # bytes of side information (layer III), else 0
+    bits: int  # bits behind the checksum that it covers: side information, or layer I's allocation; 0 for layer II, not verified
 
 
 @lru_cache(maxsize=4096)
@@ -68,7 +69,9 @@ def frame_header(head: bytes) -> Frame | None:
     length = (12000 * kbps // hertz + pad) * 4 if layer == 1 else samples // 8 * 1000 * kbps // hertz + pad
     mono = head[3] >> 6 == 3
     side = 0 if layer != 3 else (17 if mono else 32) if version == 3 else (9 if mono else 17)
-    return Frame(version, layer, not head[1] & 1, kbps, hertz, mono, length, samples, side)
+    shared = 4 * ((head[3] >> 4 & 3) + 1) if head[3] >> 6 == 1 else 32  # subbands from here on share an allocation in joint stereo
+    bits = 8 * side if layer == 3 else 4 * (32 if mono else shared + 32) if layer == 1 else 0
+    return Frame(version, layer, not head[1] & 1, kbps, hertz, mono, length, samples, side, bits)
 
 
 @lru_cache(maxsize=4096)
@@ -118,7 +121,7 @@ def encode(data: bytes) -> bytes:
         at += units * UNIT
     first = 144  # the table's frame: 48 kbit/s, without checksum
     total = first + size
-    toc = bytes(min(255, 256 * (first + offsets[len(offsets) * p // 100]) // total) for p in range(100))
+    toc = seek_points([first + x for x in offsets], 0, total)
     table = (bytes((0xFF, 0xFB, 3 << 4 | 1 << 2, 0xC4)) + bytes(_SIDE) + b"Xing" + struct.pack(">III", 7, len(frames), total) + toc).ljust(first, b"\x00")
     tag = _id3v2({"text_bytes": str(len(data)), "payload_bytes": str(len(payload)), "payload_sha256": hashlib.sha256(payload).hexdigest()})
     return tag + table + b"".join(frames) + b"TAG".ljust(127, b"\x00") + b"\xff"
@@ -133,8 +136,11 @@ class Stream:
     table: str = ""  # Xing, Info or VBRI; its frame is not among frames
     table_frames: int | None = None
     table_bytes: int | None = None
+    table_at: int = 0
+    toc: bytes = b""  # a Xing table's seek points: 256ths of its bytes for each hundredth of the duration
     checked: int = 0  # frames with a right checksum
     wrong: int = 0  # and with a wrong one
+    unchecked: int = 0  # and with one that isn't verified (layer II)
     skipped: int = 0  # bytes that belong to no frame or tag
 
     @property
@@ -145,6 +151,19 @@ class Stream:
     def rate(self) -> int:
         return self.frames[0].rate if self.frames else 0
 
+    def seek(self, sample: int) -> int:
+        """Offset of the frame that holds a sample."""
+        for f, at in zip(self.frames, self.offsets, strict=True):
+            if sample < f.samples:
+                return at
+            sample -= f.samples
+        raise IndexError("beyond the end")
+
+
+def seek_points(offsets: list[int], first: int, total: int) -> bytes:
+    """A Xing table's seek points for frames at ``offsets`` of a stream of ``total`` bytes from the table's frame at ``first``."""
+    return bytes(min(255, 256 * (offsets[len(offsets) * p // 100] - first) // total) for p in range(100))
+
 
 def _read_id3v2(data: bytes, out: Stream) -> int:
     """Position after an ID3v2 tag at the start; its user texts go to ``out.tags``. A tag cut short holds what there is."""
@@ -168,7 +187,7 @@ def _read_table(data: bytes, at: int, f: Frame, out: Stream) -> bool:
     for where, kinds in ((body, (b"Xing", b"Info")), (at + 4 + f.side, (b"Xing", b"Info")), (at + 36, (b"VBRI",))):
         kind = data[where : where + 4]
         if kind in kinds and where + 18 <= at + f.length:
-            out.table = kind.decode()
+            out.table, out.table_at = kind.decode(), at
             if kind == b"VBRI":
                 out.table_bytes, out.table_frames = struct.unpack_from(">II", data, where + 10)
             else:
@@ -176,7 +195,9 @@ def _read_table(data: bytes, at: int, f: Frame, out: Stream) -> bool:
                 if flags & 1:
                     out.table_frames, next_ = int.from_bytes(data[next_ : next_ + 4], "big"), next_ + 4
                 if flags & 2:
-                    out.table_bytes = int.from_bytes(data[next_ : next_ + 4], "big")
+                    out.table_bytes, next_ = int.from_bytes(data[next_ : next_ + 4], "big"), next_ + 4
+                if flags & 4:
+                    out.toc = data[next_ : min(next_ + 100, at + f.length)]
             return True
     return False
 
@@ -209,10 +230,12 @@ def parse(data: bytes) -> Stream:
         if not (not out.frames and not out.table and f.layer == 3 and _read_table(data, at, f, out)):
             out.frames.append(f)
             out.offsets.append(at)
-            if f.protected and f.layer == 3:
-                right = crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + f.side]) == int.from_bytes(data[at + 4 : at + 6], "big")
+            if f.protected and f.bits:
+                right = crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + f.bits // 8]) == int.from_bytes(data[at + 4 : at + 6], "big")
                 out.checked += right
                 out.wrong += not right
+            elif f.protected:
+                out.unchecked += 1
         at, in_step = at + f.length, True
     return out
 
@@ -226,7 +249,9 @@ def payload_of(data: bytes, s: Stream) -> bytes:
         parts.append(data[at + _OVERHEAD : at + _OVERHEAD + units * UNIT])
         left -= units * UNIT
     got = b"".join(parts)
-    if left or s.wrong or s.skipped or s.checked != len(s.frames) or s.table_frames != len(s.frames) or hashlib.sha256(got).hexdigest() != s.tags["payload_sha256"]:
+    size = len(data) - 128 - s.table_at
+    table = (s.table_frames, s.table_bytes, s.toc) == (len(s.frames), size, seek_points(s.offsets, s.table_at, max(1, size)) if s.offsets else b"")
+    if left or s.wrong or s.skipped or s.checked != len(s.frames) or not table or hashlib.sha256(got).hexdigest() != s.tags["payload_sha256"]:
         raise ValueError("stored stream is damaged")
     return got
 
@@ -279,8 +304,11 @@ def features(media: DataFrame) -> DataFrame:
 
 
 def stored(docs: DataFrame) -> DataFrame:
-    """Stores every row's text as a stream in the shared folder, reads the bytes back and describes them. Repeated rows come
-    out as often as they come in; an empty table gives no rows."""
+    """Stores every row's text as a stream in the shared folder, reads the bytes back and describes them.
+
+    Null texts are empty ones, of one unit of spaces; null ids stay null. Repeated rows come out as often as they come in, with
+    equal values; an empty table gives no rows; other columns, whatever their names, are not read. A very long text is one
+    stream and costs memory by its length."""
     path = new_path(docs.sparkSession, "media")
     write_media(docs, path)
     return features(read_media(docs.sparkSession, path))

@@ -30,6 +30,36 @@ def test_known_headers():
     assert m.crc16(b"123456789") == 0xAEE7
 
 
+def test_table_and_seek_points_are_verified():
+    data = bytes(range(256)) * 40
+    stream = m.encode(data)
+    s = m.parse(stream)
+    assert len(s.toc) == 100 and s.toc[0] == 256 * 144 // s.table_bytes and list(s.toc) == sorted(s.toc)
+    assert s.seek(0) == s.offsets[0] and s.seek(1152 * 3 + 5) == s.offsets[3]
+    with pytest.raises(IndexError):
+        s.seek(s.samples)
+    body = s.table_at + 4 + 17
+    for at in (body + 8 + 3, body + 12 + 3, body + 16 + 50):  # frames, bytes, a seek point
+        bad = stream[:at] + bytes([stream[at] ^ 1]) + stream[at + 1 :]
+        with pytest.raises(ValueError, match="damaged"):
+            m.payload_of(bad, m.parse(bad))
+
+
+def test_checksums_of_layer_one():
+    head = bytes((0xFF, 0xFE, 0x14, 0xC4))  # MPEG-1 layer I, 32 kbit/s, 48 kHz, mono, with checksum
+    f = m.frame_header(head)
+    assert (f.layer, f.length, f.bits, f.protected) == (1, 32, 128, True)
+    alloc = bytes(range(16))
+    frame = (head + m.crc16(head[2:] + alloc).to_bytes(2, "big") + alloc).ljust(32, b"\x00")
+    wrong = frame[:8] + bytes([frame[8] ^ 1]) + frame[9:]
+    s = m.parse(frame + wrong + frame)
+    assert (len(s.frames), s.checked, s.wrong) == (3, 2, 1)
+    joint = m.frame_header(bytes((0xFF, 0xFE, 0x14, 0x54)))
+    assert joint.bits == 4 * (8 + 32) and m.frame_header(bytes((0xFF, 0xFE, 0x14, 0x04))).bits == 256
+    two = m.parse(bytes((0xFF, 0xFC, 0x14, 0xC4)).ljust(96, b"\x00"))
+    assert len(two.frames) == 1 and two.unchecked == 1
+
+
 def test_resynchronises_after_junk_and_counts_damage():
     data = bytes(range(256)) * 20
     stream = m.encode(data)
