@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import shutil
 import tempfile
@@ -30,9 +31,35 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+_SCRATCH: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for a written table in the shared folder."""
-    return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    """A fresh path for a written table in the shared folder, or in the innermost ``scratch`` folder."""
+    return f"{_SCRATCH[-1] if _SCRATCH else shared_dir(spark) + '/tessera'}/{name}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the shared file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables written inside go to a folder of their own, which is removed at the end: no lazy result may still need them."""
+    at = f"{shared_dir(spark)}/tessera/scratch-{uuid.uuid4().hex}"
+    _SCRATCH.append(at)
+    try:
+        yield
+    finally:
+        _SCRATCH.remove(at)
+        delete(spark, at)
+
+
+def written_at(df: DataFrame, path: str) -> DataFrame:
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -40,9 +67,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
     Cuts lineage: a lost executor costs the tasks in flight, not the work before this table.
     """
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written_at(df, new_path(df.sparkSession, name))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

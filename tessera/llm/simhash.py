@@ -271,7 +271,8 @@ def near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
 
     component_id is the least doc_id reachable by links, itself included. Null or wordless texts have fingerprint zero and
     are linked like any other; repeated rows come out as often as they come in; an empty table gives no rows; a null doc_id
-    gets the least doc_id of its group, null if there is none. Other columns, whatever their names, are not read.
+    gets the least doc_id of its group, null if there is none. Other columns, whatever their names, are not read. A very long
+    text costs memory by its length.
     """
     fps, classes = _grouped(docs, radius)
     return fps.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

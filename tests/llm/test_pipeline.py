@@ -1,5 +1,6 @@
 import hashlib
 import struct
+from pathlib import Path
 
 import corpus_pipeline
 import pandas as pd
@@ -7,6 +8,7 @@ import pytest
 import tiktoken
 
 from tessera.llm import byte_bpe, line_dedup
+from tessera.llm.common import shared_dir
 from tests.llm.test_shingle_dedup import slow_groups
 
 SF = "/root/testdata/sf0.001"
@@ -45,7 +47,11 @@ def test_stages_against_brute_force(spark):
 
 
 def test_run_is_the_stages_in_order(spark):
+    top = Path(shared_dir(spark).removeprefix("file://")) / "tessera"
+    before = set(top.iterdir()) if top.exists() else set()
     out = corpus_pipeline.run(spark, SF)
+    left = {p.name.rsplit("-", 1)[0] for p in set(top.iterdir()) - before}
+    assert left == {"mixing", "source-sizes", "mixing-plan", "places", "tokens"}  # the output that the last stage reads, and its own
     assert 0 < out.count() < 200 and {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(out.columns)
 
 
