@@ -10,7 +10,7 @@ from tessera.operators import clones
 from tessera.plans.cohort import PARTS, _r, query
 from tessera.sources.cohort_view import REGIONS, long_table
 
-N_CLONES, N_SEGMENTS, PURITY = 7, 10, 0.7
+N_CLONES, N_SEGMENTS, PURITY = 7, 10, 0.73
 
 PARTS["tree"] = """tum AS (SELECT DISTINCT tumor_id FROM long),
 tree AS (SELECT tumor_id, CAST(k AS INT) AS clone_id, CAST(CASE WHEN k = 0 THEN -1 ELSE (k - 1) // 2 END AS INT) AS parent_id FROM tum, range(0, 7) t(k)),
@@ -95,7 +95,7 @@ PARTS["truth"] = """truth AS (SELECT d.tumor_id, d.mutation_id, o.sample_id, SUM
 
 
 @query((*TREE, "truth"), """SELECT tumor_id, mutation_id, sample_id, round(ccf, 6) AS ccf, round(mass, 6) AS mutant_copy_mass, round(total, 6) AS mean_total_cn, round(mass / ccf, 6) AS effective_multiplicity,
-  round(7e-1 * mass / (7e-1 * total + (1 - 7e-1) * 2), 6) AS expected_vaf FROM truth""")
+  round(73e-2 * mass / (73e-2 * total + (1 - 73e-2) * 2), 6) AS expected_vaf FROM truth""")
 def mutation_truth(spark, sf_dir):
     t = tables(spark, sf_dir)
     out = clones.mutation_truth(t["dosage"], clones.exclusive_fractions(t["tree"], t["cells"]), t["copies"], PURITY)
