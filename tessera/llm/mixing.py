@@ -21,7 +21,7 @@ from array import array
 from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -95,12 +95,13 @@ def _plan(spark: SparkSession, shares: list[tuple[str, int, int]], p: int, plain
     return plan, spark.createDataFrame([(name, a, p, starts[name]) for name, a, _ in shares], "qs string, a long, p long, cycles array<long>")
 
 
-def _scheduled(docs: DataFrame, block_bytes: int, weights: dict[str, int] | None, source: str, plain_slots: int = PLAIN_SLOTS) -> DataFrame:
-    """row (struct of all columns), source, md (order in the source), block, release, deadline, slot."""
+def _scheduled(docs: DataFrame, block_bytes: int, weights: dict[str, int] | None, source: str, carried: list[Column], plain_slots: int = PLAIN_SLOTS) -> DataFrame:
+    """row (struct of the ``carried`` columns), source, md (order in the source), block, release, deadline, slot. Only what is
+    carried is shuffled with a document, not its text."""
     name = F.coalesce(F.col(f"`{source}`").cast("string"), F.lit(""))
     text = whole_text("`text`")
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), name.alias("source"), F.octet_length(text).cast("long").alias("bytes"),
+        F.struct(*carried).alias("row"), name.alias("source"), F.octet_length(text).cast("long").alias("bytes"),
         F.md5(F.concat_ws(":", F.coalesce(F.col("`doc_id`").cast("string"), F.lit("")), F.md5(text.cast("binary"))).cast("binary")).alias("md"),
     )
     sizes = written(rows.groupBy("source").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n")), "source-sizes").collect()  # one row a source
@@ -146,12 +147,12 @@ def slots(docs: DataFrame, block_bytes: int = BLOCK_BYTES, weights: dict[str, in
     equal ids come in the order of their texts' digests, and equal rows, each of which stays, side by side. An empty table
     gives no rows; other columns, whatever their names, are not read.
     """
-    return _scheduled(docs, block_bytes, weights, source).select(F.col("row.doc_id").alias("doc_id"), "source", "block", "release", "deadline", "slot")
+    return _scheduled(docs, block_bytes, weights, source, [F.col("`doc_id`").alias("doc_id")]).select(F.col("row.doc_id").alias("doc_id"), "source", "block", "release", "deadline", "slot")
 
 
 def mixed(docs: DataFrame, block_bytes: int = BLOCK_BYTES, weights: dict[str, int] | None = None, source: str = "source") -> DataFrame:
     """All rows of ``docs``, their columns unchanged, dealt by range and sorted in the order of ``slots``."""
-    rows = _scheduled(docs, block_bytes, weights, source)
+    rows = _scheduled(docs, block_bytes, weights, source, [F.col(f"`{c}`") for c in docs.columns])
     order = ["slot", "md"]
     return rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
@@ -161,8 +162,8 @@ def placed(docs: DataFrame, block_bytes: int = BLOCK_BYTES, weights: dict[str, i
 
     position counts from 0 within a slot, which is one block; (slot, position) is unique.
     """
-    rows = _scheduled(docs, block_bytes, weights, source)
-    rows = rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), F.sha2(whole_text("row.text").cast("binary"), 256).alias("text_sha256"), "source", "block", "slot", "md")
+    carried = [F.col("`doc_id`").cast("long").alias("doc_id"), F.sha2(whole_text("`text`").cast("binary"), 256).alias("text_sha256")]
+    rows = _scheduled(docs, block_bytes, weights, source, carried).select("row.doc_id", "row.text_sha256", "source", "block", "slot", "md")
     place = F.row_number().over(Window.partitionBy("slot").orderBy("md")) - 1
     return rows.select("doc_id", "text_sha256", "source", "block", "slot", place.cast("long").alias("position"))
 

@@ -2,6 +2,7 @@ from collections import defaultdict
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import mixing
 from tessera.llm.queries import op7_pfair_mixing
@@ -61,7 +62,7 @@ def test_many_periods_keep_the_exact_share(spark):
     weights = {"small": 2, "big": 98}
     got = mixing.slots(docs, block_bytes=64, weights=weights).collect()
     assert len(got) == len(rows) == len({r.slot for r in got})
-    assert {tuple(r) for r in mixing._scheduled(docs, 64, weights, "source", plain_slots=0).select("row.doc_id", "source", "block", "release", "deadline", "slot").collect()} == {tuple(r) for r in got}
+    assert {tuple(r) for r in mixing._scheduled(docs, 64, weights, "source", [F.col("doc_id")], plain_slots=0).select("row.doc_id", "source", "block", "release", "deadline", "slot").collect()} == {tuple(r) for r in got}
     own = [sorted(r.slot for r in got if r.source == s) for s in weights]
     assert deviation(list(weights.values()), own) < 1 and max(map(max, own)) > 150 * 50
     order = {r.doc_id: r.slot for r in got}
