@@ -79,6 +79,6 @@ def whole_text(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def held_out(column: str = "doc_id"):
-    """True for the rows that no label may be learned from; null ids are never held out."""
-    return F.coalesce(F.crc32(F.col(column).cast("string")) % 5 == 0, F.lit(False))
+def held_out(column: str = "doc_id", parts: int = 5, part: int = 0):
+    """True for the rows that no label may be learned from, one in ``parts``; null ids are never held out."""
+    return F.coalesce(F.crc32(F.col(column).cast("string")) % parts == part, F.lit(False))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, embed_dedup, html_extract, line_dedup, media_audio, mixing, simhash, token_store, toxicity, warc_store
+from tessera.llm import byte_bpe, divergence, embed_dedup, hard_negatives, html_extract, line_dedup, media_audio, mixing, quality, simhash, token_store, toxicity, warc_store
 from tessera.llm.common import table
 
 
@@ -51,6 +51,19 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined(table(spark, sf_dir, "embeddings"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.scored(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_html_main_text": op2_html_main_text,
@@ -62,6 +75,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_wavelet_tokens": op8_wavelet_tokens,
     "op9_line_dedup": op9_line_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_quality_classifier": op13_quality_classifier,
 }
 
 #: Queries without an entry are tested against brute force in tests/llm.
@@ -69,4 +85,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_warc_archive": warc_store.SQL,
     "op7_pfair_mixing": mixing.SQL,
     "op9_line_dedup": line_dedup.SQL,
+    "op11_hard_negatives": hard_negatives.SQL,
+    "op12_source_divergence": divergence.SQL,
 }
