@@ -97,8 +97,8 @@ def expected_loss(resp="resp", terms="terms", observed="observed") -> Column:
     return F.when(_c(observed), total).otherwise(F.lit(0.0))
 
 
-def breakpoints(paths="paths", c="scaling", upper: float = 1.0, eps: float = EPS) -> Column:
-    """Inner points of (0, upper) where a path's probability changes its slope: switches and clip crossings."""
+def bends(paths="paths", c="scaling", eps: float = EPS) -> Column:
+    """Every point where a path's probability changes its slope, wherever it lies: switches and clip crossings."""
     s = _c(c)
 
     def cross(p: Column, y: float) -> Column:
@@ -106,8 +106,12 @@ def breakpoints(paths="paths", c="scaling", upper: float = 1.0, eps: float = EPS
         bend = p["first"] * p["switch"]
         return F.when(at <= bend, at / p["first"]).otherwise(p["switch"] + (at - bend) / p["second"])
 
-    found = F.flatten(F.transform(_c(paths), lambda p: F.array(p["switch"], cross(p, eps), cross(p, 1.0 - eps))))
-    return F.array_sort(F.array_distinct(F.transform(F.filter(found, lambda x: (x > 0) & (x < upper)), lambda x: F.round(x, 12))))
+    return F.flatten(F.transform(_c(paths), lambda p: F.array(p["switch"], cross(p, eps), cross(p, 1.0 - eps))))
+
+
+def breakpoints(paths="paths", c="scaling", upper: float = 1.0, eps: float = EPS) -> Column:
+    """The different bends inside (0, upper), to twelve decimals."""
+    return F.array_sort(F.array_distinct(F.transform(F.filter(bends(paths, c, eps), lambda x: (x > 0) & (x < upper)), lambda x: F.round(x, 12))))
 
 
 def path_summary(paths="paths", post="post", phi="phi", boundary_tol: float = 1e-8, amplified_tol: float = 1e-8) -> dict[str, Column]:

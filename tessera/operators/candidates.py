@@ -29,14 +29,24 @@ def signatures(labels: DataFrame) -> DataFrame:
     return blocks.groupBy(*KEY).agg(F.count("*").alias("k"), F.concat_ws(":", F.count("*").cast("string"), digest).alias("signature"))
 
 
-def evaluated(units: DataFrame, labels: DataFrame, weight: float = scores.WEIGHT, points: int = refit.GRID) -> DataFrame:
-    """(tumor_id, candidate_id, k, signature, df, n_eff, loglik, bic, log_mass, penalty, score) of every candidate.
-
-    A unit's losses on the grid are computed once and summed for all candidates that its mutation belongs to.
-    """
+def loss_sums(units: DataFrame, labels: DataFrame, points: int = refit.GRID) -> DataFrame:
+    """(tumor_id, candidate_id, cluster, sample_id, s0, s1, …): summed losses of every candidate's clusters on the grid. A unit's
+    losses are computed once and summed for all candidates that its mutation belongs to."""
     losses = refit.unit_losses(units, points).join(labels, ["tumor_id", "mutation_id"])
+    return losses.groupBy(*KEY, "cluster", "sample_id").agg(*[F.sum(F.get("losses", F.lit(i))).alias(f"s{i}") for i in range(points)])
+
+
+def centers(sums: DataFrame, points: int = refit.GRID, decimals: int = 9) -> DataFrame:
+    """(tumor_id, candidate_id, cluster, sample_id, beta): of ``loss_sums`` the center of least loss, then the least center."""
+    at = F.arrays_zip(F.array(*[F.round(f"s{i}", decimals) for i in range(points)]).alias("loss"), refit.grid_column(points).alias("beta"))
+    return sums.select(*KEY, "cluster", "sample_id", F.array_min(at)["beta"].alias("beta"))
+
+
+def evaluated(units: DataFrame, labels: DataFrame, weight: float = scores.WEIGHT, points: int = refit.GRID, sums: DataFrame | None = None) -> DataFrame:
+    """(tumor_id, candidate_id, k, signature, df, n_eff, loglik, bic, log_mass, penalty, score) of every candidate; ``sums`` are its
+    ``loss_sums`` if there are some already."""
+    sums = loss_sums(units, labels, points) if sums is None else sums
     key = [*KEY, "cluster", "sample_id"]
-    sums = losses.groupBy(*key).agg(*[F.sum(F.get("losses", F.lit(i))).alias(f"s{i}") for i in range(points)])
     least = sums.select(*key, F.array_min(F.array(*[f"s{i}" for i in range(points)])).alias("loss"))
     fits = least.groupBy(*KEY).agg((-F.sum("loss")).alias("loglik"))
     sizes = labels.groupBy(*KEY, "cluster").agg(F.count("*").alias("size")).groupBy(*KEY).agg(F.sum("size").alias("n"), F.sum(log_factorial("size")).alias("inner"))

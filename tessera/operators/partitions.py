@@ -31,6 +31,16 @@ def diameters(profile: DataFrame, labels: DataFrame) -> DataFrame:
     return labels.select("tumor_id", "cluster").distinct().join(inner, ["tumor_id", "cluster"], "left").select("tumor_id", "cluster", F.coalesce("d", F.lit(0.0)).alias("diameter"))
 
 
+def center_gaps(centers: DataFrame, keys: tuple[str, ...] = ("tumor_id",)) -> DataFrame:
+    """(keys, nearest): the least distance between two clusters' centers, (keys, cluster, sample_id, beta); no row for a single one.
+    Pairs of clusters meet, not pairs of their members."""
+    k = list(keys)
+    x = centers.groupBy(*k, "cluster").agg(F.map_from_entries(F.collect_list(F.struct("sample_id", "beta"))).alias("x"))
+    both = x.join(x.select(*k, F.col("cluster").alias("c2"), F.col("x").alias("x2")), k).filter("cluster < c2")
+    d = F.aggregate(F.map_entries("x"), F.lit(0.0), lambda a, e: a + (e["value"] - F.try_element_at("x2", e["key"])) * (e["value"] - F.try_element_at("x2", e["key"])))
+    return both.groupBy(*k).agg(F.min(F.sqrt(d)).alias("nearest"))
+
+
 def cross_distances(profile: DataFrame, labels: DataFrame) -> DataFrame:
     """(tumor_id, a, b, farthest, nearest) for every two clusters a < b of a tumor."""
     cross = _with_distance(graph.pairs(_clustered(profile, labels), "cluster", "phi").filter("cluster_u <> cluster_v"))

@@ -1,11 +1,15 @@
 """Fixed-partition refits on a grid of centers, and costs of mutations at given centers.
 
-Reads of a unit enter its loss only through counts; the probabilities of its paths depend on segment, region and center.
-They are computed once for each segment and region, as an array over centers, and joined to the units.
+A unit's losses at many centers are one matrix (its paths by the centers): they are computed a batch of units at a time in Arrow,
+next to the scan and without a shuffle. What is summed, joined and ranked afterwards are columns again.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,32 +24,54 @@ def grid_column(points: int = GRID, lower: float = L.EPS, upper: float = 1.0):
     return F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.lit(lower) + i.cast("double") * F.lit((upper - lower) / (points - 1)))
 
 
-def _emission(beta):
-    """log p, log(1 - p) and log prior of each path at one center."""
-
-    def one(p):
-        q = L.probability(p, beta, F.col("scaling"))
-        return F.struct(F.ln(q).alias("lp"), F.ln(1.0 - q).alias("lq"), p["log_prior"].alias("lw"))
-
-    return F.transform("paths", one)
-
-
-SEGMENT = ["tumor_id", "sample_id", "segment_id", "scaling"]
-
-
-def _segments(units: DataFrame) -> DataFrame:
-    return units.select(*SEGMENT, "paths").dropDuplicates(SEGMENT)
-
-
-def _unit_loss(terms):
-    return -L.log_sum_exp(F.transform(terms, lambda x: F.col("alt") * x["lp"] + F.col("nonalt") * x["lq"] + x["lw"]))
+#: Path rows times centers that are held at once, about.
+CELLS = 1 << 19
+
+
+def _losses(batch: pa.RecordBatch, centers: np.ndarray | None) -> np.ndarray:
+    """(units, centers): losses of a batch with alt, nonalt, scaling, paths at common ``centers``, or at those of its own column."""
+    paths = batch.column("paths")
+    n = paths.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    unit = np.repeat(np.arange(len(n)), n)
+    flat = paths.flatten()
+    switch, first, second, prior = (flat.field(x).to_numpy(zero_copy_only=False)[:, None] for x in ("switch", "first", "second", "log_prior"))
+    alt, nonalt, scaling = (batch.column(x).to_numpy(zero_copy_only=False)[unit][:, None] for x in ("alt", "nonalt", "scaling"))
+    if centers is None:
+        centers = batch.column("betas").flatten().to_numpy(zero_copy_only=False).reshape(len(n), -1)[unit]
+    q = np.clip(scaling * (first * np.minimum(centers, switch) + second * np.maximum(centers - switch, 0.0)), L.EPS, 1.0 - L.EPS)
+    terms = alt * np.log(q) + nonalt * np.log(1.0 - q) + prior
+    starts = np.concatenate((np.zeros(1, dtype=np.int64), np.cumsum(n)[:-1]))
+    top = np.maximum.reduceat(terms, starts, axis=0)
+    return -(top + np.log(np.add.reduceat(np.exp(terms - top[unit]), starts, axis=0)))
+
+
+def _with_losses(rows: DataFrame, keep: list[str], points: int | None) -> DataFrame:
+    """``keep`` and losses, an array over the grid or over the row's own betas. Every unit has a path; neighbours with as many
+    betas are computed together."""
+    grid = None if points is None else L.EPS + np.arange(points, dtype=float) * ((1.0 - L.EPS) / (points - 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            wide = np.full(b.num_rows, points) if grid is not None else b.column("betas").value_lengths().to_numpy(zero_copy_only=False)
+            size = np.cumsum(b.column("paths").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) * wide)
+            cut = (np.flatnonzero((np.diff(size // CELLS) > 0) | (np.diff(wide) != 0)) + 1).tolist()
+            for start, end in zip([0, *cut], [*cut, b.num_rows], strict=True):
+                part = b.slice(start, end - start)
+                got = _losses(part, grid)
+                out = pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1, dtype=np.int32) * np.int32(got.shape[1])), pa.array(got.ravel()))
+                yield pa.record_batch([*(part.column(c) for c in keep), out], names=[*keep, "losses"])
+
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep) + ", losses array<double>"
+    paths = F.transform("paths", lambda p: F.struct(*[p[x].cast("double").alias(x) for x in ("switch", "first", "second", "log_prior")])).alias("paths")
+    counts = [F.col(c).cast("double").alias(c) for c in ("alt", "nonalt", "scaling")]
+    return rows.select(*keep, *counts, paths, *(["betas"] if points is None else [])).mapInArrow(run, schema)
 
 
 def unit_losses(units: DataFrame, points: int = GRID) -> DataFrame:
     """(tumor_id, mutation_id, sample_id, losses): the losses of observed units at every center of the grid."""
-    table = _segments(units).select(*SEGMENT, F.transform(grid_column(points), _emission).alias("es"))
-    rows = units.filter("observed").select("tumor_id", "mutation_id", "sample_id", "segment_id", "scaling", "alt", "nonalt").join(table, SEGMENT)
-    return rows.select("tumor_id", "mutation_id", "sample_id", F.transform("es", _unit_loss).alias("losses"))
+    return _with_losses(units.filter("observed"), ["tumor_id", "mutation_id", "sample_id"], points)
 
 
 def loss_grid(units: DataFrame, labels: DataFrame | None = None, points: int = GRID) -> DataFrame:
@@ -55,11 +81,8 @@ def loss_grid(units: DataFrame, labels: DataFrame | None = None, points: int = G
     The grid stays an array in each unit's row and is summed center by center as columns, so rows are neither joined nor
     shuffled once for each center.
     """
-    table = _segments(units).select(*SEGMENT, F.transform(grid_column(points), _emission).alias("es"))
-    rows = units.filter("observed")
+    rows = unit_losses(units, points)
     rows = rows.withColumn("cluster", F.lit(0)) if labels is None else rows.join(labels.select("tumor_id", "mutation_id", "cluster"), ["tumor_id", "mutation_id"])
-    rows = rows.select("tumor_id", "cluster", "sample_id", "segment_id", "scaling", "alt", "nonalt").join(table, SEGMENT)
-    rows = rows.select("tumor_id", "cluster", "sample_id", F.transform("es", _unit_loss).alias("losses"))
     sums = rows.groupBy("tumor_id", "cluster", "sample_id").agg(*[F.sum(F.get("losses", F.lit(i))).alias(f"s{i}") for i in range(points)])
     at = F.arrays_zip(grid_column(points).alias("beta"), F.array(*[f"s{i}" for i in range(points)]).alias("loss"))
     return sums.select("tumor_id", "cluster", "sample_id", F.explode(at).alias("g")).select("tumor_id", "cluster", "sample_id", F.col("g.beta").alias("beta"), F.col("g.loss").alias("loss"))
@@ -87,16 +110,15 @@ def refined_centers(units: DataFrame, centers: DataFrame, spacing: float, labels
 
 
 def assignment_cost(units: DataFrame, centers: DataFrame) -> DataFrame:
-    """(tumor_id, mutation_id, cluster, cost): a mutation's loss at every cluster's centers.
-
-    The path terms of all clusters are made once for each segment; a unit's row holds its losses as an array.
-    """
+    """(tumor_id, mutation_id, cluster, cost): a mutation's loss at every cluster's centers; a unit's row holds its losses as an
+    array."""
     every = centers.groupBy("tumor_id", "sample_id").agg(F.array_sort(F.collect_list(F.struct("cluster", "beta"))).alias("cs"))
-    table = _segments(units).join(every, ["tumor_id", "sample_id"]).select(*SEGMENT, "cs", F.transform("cs", lambda c: _emission(c["beta"])).alias("es"))
-    rows = units.select(*SEGMENT, "mutation_id", "observed", "alt", "nonalt").join(table, SEGMENT)
-    losses = F.zip_with("cs", "es", lambda c, e: F.struct(c["cluster"].alias("cluster"), F.when(F.col("observed"), _unit_loss(e)).otherwise(F.lit(0.0)).alias("loss")))
-    rows = rows.select("tumor_id", "mutation_id", F.explode(losses).alias("l"))
-    return rows.groupBy("tumor_id", "mutation_id", F.col("l.cluster").alias("cluster")).agg(F.sum("l.loss").alias("cost"))
+    every = every.select("tumor_id", "sample_id", F.transform("cs", lambda c: c["cluster"]).alias("clusters"), F.transform("cs", lambda c: c["beta"].cast("double")).alias("betas"))
+    rows = units.select("tumor_id", "sample_id", "mutation_id", "observed", "alt", "nonalt", "scaling", "paths").join(every, ["tumor_id", "sample_id"])
+    rows = _with_losses(rows, ["tumor_id", "mutation_id", "observed", "clusters"], None)
+    rows = rows.select("tumor_id", "mutation_id", "observed", F.explode(F.arrays_zip("clusters", "losses")).alias("l"))
+    loss = F.when(F.col("observed"), F.col("l.losses")).otherwise(0.0)
+    return rows.groupBy("tumor_id", "mutation_id", F.col("l.clusters").alias("cluster")).agg(F.sum(loss).alias("cost"))
 
 
 def leave_one_out(labels: DataFrame, alpha: float = 1.0) -> DataFrame:

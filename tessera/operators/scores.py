@@ -78,13 +78,14 @@ def eligibility():
     )
 
 
-def select_candidates(candidates: DataFrame) -> DataFrame:
+def select_candidates(candidates: DataFrame, eligible=None) -> DataFrame:
     """One candidate a tumor from (tumor_id, candidate_id, signature, score, uncertainty, k, df, lam, is_raw, objective, …).
 
     Of eligible candidates the first of each signature; of these the ones whose score interval reaches the least upper end;
     of those the simplest: fewest clusters, degrees of freedom, least lambda, raw fits first, then signature, objective, id.
+    ``eligible`` replaces the conditions on residuals alone, as ``candidates.selection_eligible`` does where there are certificates.
     """
-    ok = candidates.filter(eligibility().isNull())
+    ok = candidates.filter(eligibility().isNull() if eligible is None else eligible)
     rep = best_per(ok, ["tumor_id", "signature"], ["score", "k", "df", "lam", "objective", "candidate_id"])
     rep = rep.withColumns({"low": F.col("score") - F.col("uncertainty"), "high": F.col("score") + F.col("uncertainty")})
     least = rep.groupBy("tumor_id").agg(F.min("high").alias("least_high"))
