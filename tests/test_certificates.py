@@ -90,4 +90,4 @@ def test_matrix_losses_are_the_kernels(spark):
     for r in seen:
         p = np.array([[x.switch, x.first, x.second, x.log_prior] for x in r.paths])
         q = np.clip(r.scaling * (p[:, 1:2] * np.minimum(grid, p[:, :1]) + p[:, 2:3] * np.maximum(grid - p[:, :1], 0)), 1e-6, 1 - 1e-6)
-        assert np.allclose(got[(r.tumor_id, r.mutation_id, r.sample_id)], -np.log(np.exp(r.alt * np.log(q) + r.nonalt * np.log(1 - q) + p[:, 3:]).sum(0)))
+        assert np.allclose(got[(r.tumor_id, r.mutation_id, r.sample_id)], -np.logaddexp.reduce(r.alt * np.log(q) + r.nonalt * np.log(1 - q) + p[:, 3:], axis=0))
