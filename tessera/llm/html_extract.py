@@ -47,6 +47,16 @@ BAD_NAMES = frozenset(
     popup promo promoted promotion recommended related reply replies respond share sharing shares sidebar sidebars signup social sponsor sponsored sponsors
     subscribe subscription tagcloud tags toolbar topbar widget widgets""".split()
 )
+#: Of these, words that have other senses and need company; words beside them that keep the sense; words that say
+#: a section isn't what the rest of its name says; words for main content; words for readers' comments.
+VAGUE_NAMES = frozenset("ad banner discussion footer header login notice notices overlay promo promoted promotion related reply replies respond share shares social tags widget widgets".split())
+COMPANIONS = frozenset(
+    """area articles bar block body bottom box btn button buttons center col column container content group holder icons inner item items layer left line link links list lower
+    menu mobile module news outer page panel placeholder posts primary right row secondary section site slot small sticky stories text title top unit upper wrap wrapper zone""".split()
+)
+DENIALS = frozenset("no not without with has have is free hide show enable enabled disable disabled".split())
+MAIN_NAMES = frozenset("article post entry content story".split())
+COMMENT_NAMES = frozenset("comment comments commentlist disqus replies".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that can hold an article and are never hidden by a class word such as "header-image".
 MAIN_SECTIONS = frozenset("article main".split())
@@ -87,15 +97,31 @@ def _bad(tag: str, attrs: str, in_main: bool) -> bool:
             return True
         if name == "role" and BAD_ROLES.intersection(value.lower().split()):
             return True
-        if name in ("class", "id") and tag not in MAIN_SECTIONS:
-            for word in value.split():
-                parts = _NAME.findall(_CAMEL.sub("-", word).lower())
-                # "article-header" or "ad-free-story" names main content; a boilerplate word must begin or end the name
-                if parts and (parts[0] in BAD_NAMES or (parts[-1] in BAD_NAMES and not {"article", "post", "entry", "content", "story"} & set(parts))):
-                    return True
+        if name in ("class", "id") and any(map(_bad_name, [_NAME.findall(_CAMEL.sub("-", w).lower()) for w in value.split()], [tag in MAIN_SECTIONS] * len(value.split()))):
+            return True
     return False
 
 
+def _bad_name(parts: list[str], main_tag: bool) -> bool:
+    """Whether the words of one class or id name boilerplate: by their first or last word, unless another one denies it
+    ("no-sidebar", "page-with-header"). A word with other senses counts where all the rest are boilerplate words, companions
+    or numbers ("share-buttons", not "share-price-report"); "article-header" names a part of the content, "story-comments" doesn't. On
+    ``article`` and ``main`` only readers' comments count."""
+    if not parts or DENIALS.intersection(parts):
+        return False
+    ends = {parts[0], parts[-1]}
+    if main_tag:
+        return bool(COMMENT_NAMES & ends) and not MAIN_NAMES.intersection(parts[1:])
+    if parts[-1] in ("header", "footer") and MAIN_NAMES.intersection(parts):
+        return False
+    if (ends & BAD_NAMES) - VAGUE_NAMES:
+        return True
+    if parts[0] in VAGUE_NAMES and MAIN_NAMES.intersection(parts[1:]):
+        return False
+    plain = BAD_NAMES | COMPANIONS | (MAIN_NAMES if parts[-1] in VAGUE_NAMES else frozenset())
+    return bool(ends & VAGUE_NAMES) and "main" not in parts and all(w in plain or w.isdigit() for w in parts)
+
+
 def _is_main(attrs: str) -> bool:
     return "main" in attrs.lower() and any(name.lower() == "role" and "main" in (a or b or c).lower().split() for name, a, b, c in _ATTR.findall(attrs))
 
@@ -292,6 +318,8 @@ def decide(b: Block, kind: str) -> bool | None:
     if len(words) < WORDS:
         return None
     stops = sum(w in STOP_WORDS for w in words) / len(words)
+    if len(words) >= LONG and not b.linked and not stops:
+        return True  # prose of a language whose stop words aren't listed
     return True if stops >= (LONG_STOPS if len(words) >= LONG else STOPS) else None
 
 
@@ -300,7 +328,12 @@ def extract(page: str | None) -> str:
     found, kinds = blocks(page or "")
     for b in found:
         b.good = decide(b, kinds[b.section])
+    if "form" in kinds and not any(b.good for b in found):  # a form around the whole page is no form of the page
+        kinds = ["plain" if k == "form" else k for k in kinds]
+        for b in found:
+            b.good = decide(b, kinds[b.section])
     first = [b.good for b in found]
+    outside = any(b.good is not None and kinds[b.section] not in ("bad", "form") for b in found)
     n = len(found)
     before: list[tuple[int, bool] | None] = [None] * n
     after: list[tuple[int, bool] | None] = [None] * n
@@ -323,6 +356,9 @@ def extract(page: str | None) -> str:
             b.good = min(near, key=lambda x: (x[0], not x[1]))[1] if any(x[1] for x in near) else not b.linked
         elif near or before[i] or after[i]:
             near = near or [x for x in (before[i], after[i]) if x]
+            if not outside and not b.linked and len(b.text.split()) >= WORDS:
+                b.good = True  # only menus and the like are decided: they don't decide what stands outside them
+                continue
             b.good = min(near, key=lambda x: (x[0], x[1] if x is not after[i] or not b.head else -1))[1]  # a heading goes with what follows
         else:
             b.good = kinds[b.section] not in ("bad", "form") and b.linked == 0

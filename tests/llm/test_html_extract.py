@@ -110,3 +110,45 @@ def test_rows(spark):
     assert sorted([tuple(r) for r in got], key=repr) == sorted([(1, "u", LONG, len(LONG))] * 2 + [(None, None, "", 0)], key=repr)
     assert html_extract.extracted(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
     assert pd.DataFrame(got).shape == (3, 4)
+
+
+OTHER = "I think that this is what they all want and it is not for me to say that they are in the wrong here."
+DUTCH = (
+    "Het schip voer gisteren langzaam langs kleine eilanden terwijl vissers hun netten binnenhaalden omdat zware wolken snel dichterbij kwamen; niemand sprak hardop want iedereen "
+    "luisterde naar golven die steeds hoger tegen houten planken sloegen totdat eindelijk verderop licht scheen boven donkere rotsen waar oude torens stonden"
+)
+RUSSIAN = " ".join("корабль медленно плыл вдоль берега пока рыбаки тянули сети".split() * 7)
+
+
+@pytest.mark.parametrize("name", ["no-sidebar", "site with-header", "page-with-header", "elementor-widget", "header-main-content", "share-price-report", "ad-free-story", "hasSidebar", "article-header", "entry-footer"])
+def test_a_word_with_another_sense_does_not_drop_an_article(name):
+    assert extract(f'<div class="{name}"><p>{LONG}</p></div>') == LONG
+    assert extract(f'<div class="{name}"><article><p>{LONG}</p></article></div>') == LONG
+
+
+@pytest.mark.parametrize(
+    "start", ["div class=story-comments", "div class=post-comments", "article class=comment-body", "article class='comment odd'", "ol class=commentlist", "div id=comments", "section class=comment-list", "div class=content-ad", "div class=post-sidebar",
+              "div class=sidebar-widget", "div class=share-buttons", "div class=ad", "div class='ad-slot-2'", "div class=cookieBanner", "div class=header-top", "div class=newsletter-signup", "div class=related-posts", "div class=site-footer"]
+)
+def test_sections_named_as_boilerplate_go(start):
+    assert extract(f"<article><p>{LONG}</p></article><{start}><p>{OTHER}</p></{start.split()[0]}>") == LONG
+
+
+def test_a_form_around_the_page_and_a_form_in_it():
+    assert extract(f"<form id=f><p>{LONG}</p></form>") == LONG
+    assert extract(f"<form id=f><nav><a href=/>Home</a></nav><div><p>{LONG}</p></div></form>") == LONG
+    assert extract(f"<p>{LONG}</p><form><p>{OTHER}</p></form>") == LONG
+
+
+@pytest.mark.parametrize("text", [DUTCH, RUSSIAN, RUSSIAN + " " + RUSSIAN])
+def test_prose_without_listed_stop_words(text):
+    assert extract(f"<nav><a href=/>Home</a> <a href=/b>More</a></nav><p>{text}</p>") == text
+    assert extract(f"<nav><a href=/>Home</a></nav><div><h1>Kop</h1><p>{text}</p></div><footer>adres</footer>").endswith(text)
+
+
+def test_short_prose_beside_menus_only():
+    short = "Drie korte zinnen staan hier. Niemand leest ze ooit. Toch blijven ze."
+    assert extract(f"<nav><a href=/>Home</a></nav><p>{short}</p><footer>adres</footer>") == short
+    many = "".join(f"<p>{short}</p>" for _ in range(20000))
+    began = time.time()
+    assert extract(f"<nav><a href=/>Home</a></nav>{many}").count("Drie") == 20000 and time.time() - began < 20
