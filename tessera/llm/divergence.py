@@ -32,6 +32,8 @@ PART_TERMS, PART_BYTES = 250_000, 4 << 20
 HELD = 400_000
 #: Terms of a block and sources of a side in the comparison of pairs.
 BLOCK_TERMS, BLOCK_SOURCES = 2048, 64
+#: Parts that a language's terms are dealt into where they meet what is known of the language.
+SALTS = 64
 
 _SCALE = 1_000_000_000
 #: Bytes to terms: A to Z in small letters, every other ASCII character but small letters a space; all others stay.
@@ -143,6 +145,12 @@ def _share(n, total, terms):
     return ((whole - F.pmod(whole, base)) / base).cast("long") + 1
 
 
+def _by_lang(rows: DataFrame, small: DataFrame) -> DataFrame:
+    """Rows with a term, joined to one row a language: languages are few and one may hold most terms, so each is dealt into SALTS."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(SALTS)).cast("int"))
+    return salted.join(small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["lang", "salt"]).drop("salt")
+
+
 def _distances(left: pd.DataFrame) -> pd.DataFrame:
     """Distances of all pairs of one side's sources with the other's, summed over one block of terms.
 
@@ -188,14 +196,14 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS,
     groups = written(groups.withColumn("number", number), "groups")
     number = F.row_number().over(Window.partitionBy("lang", "block").orderBy("term")).cast("long") - 1
     blocks = F.ceil(F.col("terms") / BLOCK_TERMS).cast("long")
-    numbered = kept.join(sizes, "lang").select("lang", "term", F.pmod(F.xxhash64("term"), blocks).alias("block"))
+    numbered = _by_lang(kept, sizes).select("lang", "term", F.pmod(F.xxhash64("term"), blocks).alias("block"))
     numbered = written(numbered.withColumn("number", number), "numbered-terms")
     shares = found.join(groups, ["lang", "source"]).select("lang", "source", "term", F.col("number").alias("source_number"), _share(F.col("n"), F.col("total"), F.col("terms")).alias("p"))
     shares = written(shares, "shares")
 
     whole = found.groupBy("lang", "term").agg(F.sum("n").alias("n"))
     totals = found.groupBy("lang").agg(F.sum("n").alias("total")).join(sizes, "lang")
-    whole = whole.join(totals, "lang").select("lang", "term", _share(F.col("n"), F.col("total"), F.col("terms")).alias("q"))
+    whole = _by_lang(whole, totals).select("lang", "term", _share(F.col("n"), F.col("total"), F.col("terms")).alias("q"))
     high = shares.join(whole, ["lang", "term"]).filter("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
     order = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
     high = high.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_terms)
