@@ -176,6 +176,20 @@ def coerced(edges: DataFrame) -> DataFrame:
     return out
 
 
+def resolved(profile: DataFrame, edges: DataFrame | None = None, tau: DataFrame | None = None, gamma: float = 1.0, baseline: float = 1.0) -> DataFrame:
+    """(tumor_id, u, v, w) that a fit of ``profile`` uses: given edges checked, without those of weight zero; else, with noise floors ``tau``,
+    the adaptive complete graph of the profile; else the uniform one. Edges to mutations that the profile lacks, and weights that
+    aren't finite, raise."""
+    if edges is None:
+        return uniform_edges(profile) if tau is None else adaptive_edges(profile, tau, gamma, baseline).select("tumor_id", "u", "v", "w")
+    nodes = profile.select("tumor_id", "mutation_id").distinct()
+    ends = edges.select("tumor_id", F.explode(F.array("u", "v")).alias("mutation_id"), "w")
+    odd = ends.join(nodes.withColumn("known", F.lit(True)), ["tumor_id", "mutation_id"], "left").filter("known IS NULL OR isnan(w) OR abs(w) = double('infinity')")
+    if not odd.isEmpty():
+        raise ValueError("edges must join mutations of their tumor and have finite weights")
+    return coerced(edges).filter("w > 0")
+
+
 def activity(diffs: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     """(tumor_id, fused, apart): edges whose ends are within the tolerance, and the others."""
     return diffs.groupBy("tumor_id").agg(F.count_if(norm() <= tolerance).alias("fused"), F.count_if(norm() > tolerance).alias("apart"))
