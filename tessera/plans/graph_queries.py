@@ -69,10 +69,11 @@ def primal_dual_rounds(spark, sf_dir):
 
 @query((), None)
 def primal_dual_fit(spark, sf_dir):
-    """The minimum on the graph of nearest neighbours."""
+    """The fit on the graph of nearest neighbours, up to a budget of rounds: a tumor that hasn't settled by then says so."""
     nodes = _nodes(spark, sf_dir)
-    solved = primal_dual.solve(nodes, _near(spark, sf_dir), LAM, tolerance=1e-4, most=480)
-    return primal_dual.profile(solved, nodes).select(*KEY, _r("phi", 3).alias("phi"))
+    solved = primal_dual.solve(nodes, _near(spark, sf_dir), LAM, tolerance=1e-3, most=240)
+    ends = solved.groupBy("tumor_id").agg(F.max("rounds").alias("rounds"), F.max("converged").alias("converged"))
+    return primal_dual.profile(solved, nodes).join(ends, "tumor_id").select(*KEY, _r("phi", 3).alias("phi"), "rounds", "converged")
 
 
 #: The quadratic's penalty and upper bound.
