@@ -1,11 +1,16 @@
-"""Near-duplicates by the Jaccard similarity of 5-word shingles: candidates by MinHash bands, every link verified exactly.
-
-Two texts of similarity 0.8 agree on a band of four minima with probability 0.8 ** 4 = 0.41, so they share none of 20 bands
-with probability 0.00003. Candidates are checked in two steps. First each text of a band's bucket against one of them, the one
-with the most bucket-mates in all bands, as the origin of a group of copies has: this joins most of a large group with a number
-of checks in proportion to its size. Then all other pairs of a bucket that aren't in one component yet and whose 80 minima
-agree in 60 % at least (4.5 standard deviations below 0.8): these are compared inside the tasks that hold a bucket's shingle
-sets, so no pair becomes a row; a task returns the edges of a spanning forest.
+"""Near-duplicates by SimHash fingerprints and the Jaccard similarity of 5-word shingles: every link is verified exactly.
+
+Candidates come from two sources. First the fingerprints of the 5-word shingles, compared bit-sliced as in ``simhash``: what is
+linked within ``RADIUS`` bits makes a bucket. At similarity 0.8 fingerprints differ in about ten bits, though, beyond what blocks
+can find, so MinHash bands find the links of texts whose fingerprints lie further apart: two texts of similarity 0.8 agree on a
+band of four minima with probability 0.8 ** 4 = 0.41, so they share none of 20 bands with probability 0.00003.
+
+The pairs of a bucket are checked in two steps. First each text against one of them, the one
+with the most bucket-mates in all buckets, as the origin of a group of copies has: this joins most of a large group with a number
+of checks in proportion to its size. Then all other pairs of a bucket that aren't in one component yet and whose fingerprints
+are within the radius (buckets of fingerprints), or whose 80 minima
+agree in 60 % at least (buckets of bands; 4.5 standard deviations below 0.8): these are compared inside the tasks that hold a
+bucket's shingle sets, so no pair becomes a row; a task returns the edges of a spanning forest.
 """
 
 from __future__ import annotations
@@ -18,24 +23,29 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import simhash
 from tessera.llm.common import whole_text, written
 from tessera.llm.components import components
 
 SHINGLE, BANDS, ROWS = 5, 20, 4
-#: Agreeing minima from which a pair is verified in the second step.
+#: Differing bits up to which fingerprints are linked.
+RADIUS = 4
+#: Agreeing minima from which a pair of a band's bucket is verified in the second step.
 AGREEING = 48
 #: Rows of one bucket that one task compares with as many others at most, and bytes of their shingle sets, about.
 CHUNK, CHUNK_BYTES = 2048, 16 << 20
 #: Rows (of some 40 bytes) up to which a side of a join with texts is broadcast.
 BROADCAST_ROWS = 200_000
+#: Texts that a worker unpacks at a time.
+SLICE = 512
 
 _rng = np.random.default_rng(42)
 _A = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 
 
-def shingles(text: str | None) -> tuple[int, np.ndarray]:
-    """A hash of the lower-case words, and the sorted distinct hashes of their shingles: one of all words if they are few."""
+def hashed(text: str | None) -> tuple[int, np.ndarray]:
+    """A hash of the lower-case words, and the hashes of their shingles, repeats included: one of all words if they are few."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= SHINGLE:
@@ -43,8 +53,14 @@ def shingles(text: str | None) -> tuple[int, np.ndarray]:
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate(([0], ends[:-1])).tolist()
     view = memoryview(joined)
-    found = {digest(view[a:b], 42) for a, b in zip(starts, (ends[SHINGLE - 1 :] - 1).tolist(), strict=False)}
-    return digest(joined), np.sort(np.fromiter(found, dtype=np.uint64, count=len(found)))
+    found = [digest(view[a:b], 42) for a, b in zip(starts, (ends[SHINGLE - 1 :] - 1).tolist(), strict=False)]
+    return digest(joined), np.array(found, dtype=np.uint64)
+
+
+def shingles(text: str | None) -> tuple[int, np.ndarray]:
+    """A hash of the lower-case words, and the sorted distinct hashes of their shingles."""
+    node, hashes = hashed(text)
+    return node, np.unique(hashes)
 
 
 def minima(hashes: np.ndarray) -> np.ndarray:
@@ -63,14 +79,22 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 5 * both >= 4 * (len(a) + len(b) - both)
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        nodes, sigs = [], []
+        for at in range(0, b.num_rows, SLICE):
+            yield b.slice(at, SLICE)
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in _slices(batches):
+        nodes, sigs, fps = [], [], []
         for text in b.column(2).to_pylist():
-            node, hashes = shingles(text)
+            node, hashes = hashed(text)
             nodes.append(node)
-            sigs.append(minima(hashes).tobytes())
-        yield pa.record_batch([b.column(0), b.column(1), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(sigs, pa.binary())], names=["doc_id", "th", "node", "sig"])
+            sigs.append(minima(np.unique(hashes)).tobytes())
+            fps.append(simhash.majority(hashes))
+        nodes, fps = (pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (nodes, fps))
+        yield pa.record_batch([b.column(0), b.column(1), nodes, pa.array(sigs, pa.binary()), fps], names=["doc_id", "th", "node", "sig", "fp"])
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,12 +105,21 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(band), pa.array(node)], names=["k", "band", "node"])
 
 
+def _fingerprint_buckets(nodes: DataFrame) -> DataFrame:
+    """(k, band, node): nodes whose fingerprints are equal or linked, directly or over others; they count as a band after the last."""
+    links = simhash.near_edges(written(nodes.select("fp").distinct(), "shingle-fingerprints"), RADIUS)
+    near = components(links.select(F.col("fu").alias("u"), F.col("fv").alias("v"))).withColumnRenamed("node", "fp")
+    return nodes.select("node", "fp").join(near, "fp", "left").select(F.coalesce("component", "fp").alias("k"), F.lit(BANDS).alias("band"), "node")
+
+
 def _close(group: pa.Table) -> pa.Table:
-    """(u, v): edges that join the components of one dealt group wherever two of its texts are similar. Pairs with the leader were
-    checked before, and pairs that share an earlier band are checked there."""
+    """(u, v): edges that join the components of one dealt group wherever two of its texts are similar and their fingerprints linked
+    or their minima alike. Pairs with the leader were checked before, and pairs of a band that share an earlier one are checked
+    there."""
     node, comp, side, leader, band = (group.column(c).to_numpy() for c in ("node", "comp", "side", "leader", "band"))
     sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), dtype="<u4").reshape(len(node), -1)
     sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in group.column("shingles")]
+    fps = group.column("fp").to_numpy().view(np.uint64)
     crossed, up, edges = bool(side.any()), {}, []
 
     def find(c: int) -> int:
@@ -98,9 +131,12 @@ def _close(group: pa.Table) -> pa.Table:
         if node[i] == leader[i] or (crossed and side[i]):
             continue
         others = np.flatnonzero((comp != comp[i]) & (node != leader) & ((side == 1) if crossed else (node > node[i])))
-        same = sig[others] == sig[i]
-        first = ~same.reshape(len(others), BANDS, ROWS).all(axis=2)[:, : band[i]].any(axis=1)
-        others = others[first & (same.sum(axis=1) >= AGREEING)]
+        if band[i] == BANDS:
+            others = others[np.bitwise_count(fps[others] ^ fps[i]) <= RADIUS]
+        else:
+            same = sig[others] == sig[i]
+            first = ~same.reshape(len(others), BANDS, ROWS).all(axis=2)[:, : band[i]].any(axis=1)
+            others = others[first & (same.sum(axis=1) >= AGREEING)]
         for j in others.tolist():
             a, b = find(int(comp[i])), find(int(comp[j]))
             if a != b and similar(sets[i], sets[j]):
@@ -112,7 +148,7 @@ def _close(group: pa.Table) -> pa.Table:
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last, own = None, None
-    for b in batches:
+    for b in _slices(batches):
         keep = []
         for u, text, other in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
             if u != last:
@@ -122,7 +158,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in _slices(batches):
         sets = [shingles(t)[1].tobytes() for t in b.column(1).to_pylist()]
         yield pa.record_batch([b.column(0), pa.array(sets, pa.binary()), pa.array(map(len, sets), pa.int64())], names=["node", "shingles", "size"])
 
@@ -160,7 +196,7 @@ def _rest(members: DataFrame, nodes: DataFrame, docs: DataFrame, chunk: int) ->
     )
     mine = F.array(F.struct(own.alias("a"), own.alias("b"), F.lit(0).alias("side")))
     dealt = rows.select("k", "band", "leader", "node", "comp", F.explode(F.concat(mine, others)).alias("p")).select("k", "band", "p.a", "p.b", "p.side", "leader", "node", "comp")
-    dealt = dealt.join(sets.select("node", "shingles"), "node").join(nodes.select("node", "sig"), "node")
+    dealt = dealt.join(sets.select("node", "shingles"), "node").join(nodes.select("node", "sig", "fp"), "node")
     return dealt.groupBy("k", "a", "b").applyInArrow(_close, "u long, v long")
 
 
@@ -172,11 +208,11 @@ def grouped(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     its length.
     """
     text = whole_text("`text`")
-    signed = docs.select(F.col("`doc_id`").cast("long"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(_signed, "doc_id long, th long, node long, sig binary")
+    signed = docs.select(F.col("`doc_id`").cast("long"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(_signed, "doc_id long, th long, node long, sig binary, fp long")
     signed = written(signed, "shingle-minima")
-    nodes = signed.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "sig")).alias("b"))
-    nodes = written(nodes.select("node", "b.doc_id", "b.th", "b.sig"), "shingle-nodes")
-    keyed = nodes.select("node", "sig").mapInArrow(_banded, "k long, band int, node long")
+    nodes = signed.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "sig", "fp")).alias("b"))
+    nodes = written(nodes.select("node", "b.doc_id", "b.th", "b.sig", "b.fp"), "shingle-nodes")
+    keyed = nodes.select("node", "sig").mapInArrow(_banded, "k long, band int, node long").union(written(_fingerprint_buckets(nodes), "shingle-near"))
     shared = keyed.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1")
     members = written(keyed.join(shared, "k"), "shingle-buckets")
     weight = members.groupBy("node").agg(F.sum("n").alias("mates"))

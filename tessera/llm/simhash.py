@@ -29,6 +29,15 @@ SHORT_RUN = 24
 CHUNK = 8192
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    ones = np.zeros(BITS, dtype=np.int64)
+    for at in range(0, len(hashes), 65536):  # bounded memory for very long texts
+        part = hashes[at : at + 65536]
+        ones += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
     """The unsigned 64-bit fingerprint; 0 for a text without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -43,11 +52,7 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
         view, digest = memoryview(joined), xxhash.xxh64_intdigest
         n = len(words) - shingle + 1
         hashes = np.fromiter((digest(view[a:b], seed) for a, b in zip(starts[:n].tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=True)), dtype=np.uint64, count=n)
-    ones = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, len(hashes), 65536):  # bounded memory for very long texts
-        part = hashes[at : at + 65536]
-        ones += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    return majority(hashes)
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
