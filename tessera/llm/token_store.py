@@ -219,24 +219,26 @@ class Encoder:
         """Remembers chunks. Those of Latin letters, perhaps with one mark behind them, are one match of the pattern and one
         more, whatever the Unicode version, and no normal form changes them: their lower-case bytes go straight to the
         library's model. All other chunks go through the library as they are."""
-        memo, tokenize, others, words = self.memo, self.tokenize, [], {}
+        memo, tokenize, others = self.memo, self.tokenize, []
         for c in chunks:
-            m = _LATIN.fullmatch(c)
-            if not m:
-                others.append(c)
-                continue
-            word, mark = m.groups()
-            got = words.get(word)
-            if got is None:
-                low = word.lower()
-                if not low.isascii():
-                    low = low.encode().decode("latin-1").translate(_BYTE_CHARS)
-                got = words[word] = _pack([t.id for t in tokenize(low)])
-            if mark:
-                memo[c] = got + (self.marks.get(mark) or self._mark(mark))
+            if c.isascii() and c.isalpha():
+                word, mark = c, ""
+            elif c[-1] in ".,;:" and c.isascii() and c[:-1].isalpha():
+                word, mark = c[:-1], c[-1]
             else:
-                memo[c] = got
-        memo.update(zip(others, self._ask(others), strict=True))
+                m = _LATIN.fullmatch(c)
+                if not m:
+                    others.append(c)
+                    continue
+                word, mark = m.groups()
+            low = word.lower()
+            got = memo.get(low)  # known without the mark or in other letters: both give the same ids
+            if got is None:
+                own = low if low.isascii() else low.encode().decode("latin-1").translate(_BYTE_CHARS)
+                got = memo[low] = _pack([t.id for t in tokenize(own)])
+            memo[c] = got + (self.marks.get(mark) or self._mark(mark)) if mark else got
+        if others:
+            memo.update(zip(others, self._ask(others), strict=True))
 
     marks: dict[str, bytes] = {}
 
@@ -255,22 +257,12 @@ class Encoder:
             memo.clear()
         whole = [i for i, t in enumerate(texts) if "<|" in t or "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t]
         odd = set(whole)
-        found, missing, new = [], [], set()
-        for i, t in enumerate(texts):
-            chunks = [] if i in odd else (t.lower() if t.isascii() else t).split()
-            got = list(map(memo.get, chunks))
-            if None in got:
-                lack = [(k, c) for k, (c, x) in enumerate(zip(chunks, got, strict=True)) if x is None]
-                new.update([c for _, c in lack])
-                missing.append((i, lack))
-            found.append(got)
+        split = [[] if i in odd else (t.lower() if t.isascii() else t).split() for i, t in enumerate(texts)]
+        new = set().union(*split).difference(memo)
         if new:
             self._learn(new)
-        for i, lack in missing:
-            own = found[i]
-            for k, c in lack:
-                own[k] = memo[c]
-        out = list(map(b"".join, found))
+        get = memo.__getitem__
+        out = [b"".join(map(get, chunks)) for chunks in split]
         for i, ids in zip(whole, self._ask([texts[i] for i in whole]), strict=True):
             out[i] = ids
         return out

@@ -57,6 +57,19 @@ def test_no_chunk_depends_on_those_before_it():
         assert list(struct.unpack(f"<{len(got) // 4}I", got)) == want(t), ascii(t)
 
 
+def test_a_word_is_tokenized_once_in_all_its_forms():
+    """With or without a mark, in any letters; forms that lower-case beyond the Latin range, and these as chunks, included."""
+    library, own, asked = Tokenizer.from_file(PATH), token_store.Encoder(PATH), []
+    model = own.tokenize
+    own.tokenize = lambda word: asked.append(word) or model(word)
+    texts = ["treelike", "treelike, Treelike. \u00e9t\u00e9", "\u00c9T\u00c9; \u00e9t\u00e9: TREELIKE \u00c9t\u00e9.", "treelike;"]
+    texts += [f(c) for c in map(chr, range(0xC0, 0x250)) for f in (str, str.lower, lambda c: f"a{c.upper()}, {c.lower()}.")]
+    for t in texts:
+        got = own.encode_all([t])[0]
+        assert list(struct.unpack(f"<{len(got) // 4}I", got)) == library.encode(t, add_special_tokens=False).ids, ascii(t)
+    assert len(asked) == len(set(asked)) and asked[0] == "treelike"
+
+
 def test_lookups_inflate_what_they_touch():
     ids = np.random.default_rng(3).integers(0, 1 << 16, 1 << 20).astype(np.uint32)
     w = token_store.WaveletMatrix.from_bytes(token_store.WaveletMatrix.build(ids).to_bytes())
