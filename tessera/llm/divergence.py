@@ -14,6 +14,7 @@ from __future__ import annotations
 import string
 from collections import Counter
 from collections.abc import Iterator
+from operator import itemgetter
 
 import ahocorasick
 import numpy as np
@@ -43,6 +44,13 @@ def reduced(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass").translate(_TERMS)
 
 
+def _batch(groups: list[tuple], items: list[pa.Array], counts: list[Counter], names: list[str]) -> pa.RecordBatch:
+    """Rows of each group's names, the items counted in it and their counts."""
+    columns = [[pa.repeat(pa.scalar(g[k], pa.string()), len(c)) for g, c in zip(groups, counts, strict=True)] for k in range(len(groups[0]))]
+    columns += [items, [pa.array(np.fromiter(c.values(), np.int64, len(c))) for c in counts]]
+    return pa.record_batch([pa.concat_arrays(c) for c in columns], names=names)
+
+
 def _document_terms(most: int):
     """(lang, term, n): n documents of this task have the term. At most about ``most`` counters are held."""
 
@@ -51,9 +59,9 @@ def _document_terms(most: int):
         size = 0
 
         def out() -> pa.RecordBatch:
-            rows = [(g, t.decode("utf-8", "surrogatepass"), n) for g, c in held.items() for t, n in c.items()]
+            counts = list(held.items())
             held.clear()
-            return pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "term", "n"])
+            return _batch([(g,) for g, _ in counts], [pa.array(list(c), pa.string()) for _, c in counts], [c for _, c in counts], ["lang", "term", "n"])
 
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -64,7 +72,8 @@ def _document_terms(most: int):
                 if size > most:
                     yield out()
                     size = 0
-        yield out()
+        if held:
+            yield out()
 
     return run
 
@@ -88,7 +97,7 @@ def _parts(kept: DataFrame, part_terms: int, part_bytes: int) -> tuple[DataFrame
 
 
 def _recount(shared, most: int):
-    """(lang, source, term, n) of the terms of one part, which is built into an automaton once a task."""
+    """(lang, source, id, n) of the terms of one part, which is built into an automaton once a task; id is a term's place in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = shared.value
@@ -100,21 +109,33 @@ def _recount(shared, most: int):
         size = 0
 
         def out() -> pa.RecordBatch:
-            rows = [(*g, terms[i], n) for g, c in held.items() for i, n in c.items()]
+            counts = list(held.items())
             held.clear()
-            return pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.string(), pa.int64()))], names=["lang", "source", "term", "n"])
+            return _batch([g for g, _ in counts], [pa.array(np.fromiter(c, np.int32, len(c))) for _, c in counts], [c for _, c in counts], ["lang", "source", "id", "n"])
 
         for b in batches:
             for lang, source, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 padded = f" {b' '.join(reduced(text).split()).decode('utf-8', 'surrogatepass')} "
                 own = held.setdefault((lang, source), Counter())
                 size -= len(own)
-                own.update([i for _, i in found.iter(padded)])
+                own.update(map(itemgetter(1), found.iter(padded)))
                 size += len(own)
                 if size > most:
                     yield out()
                     size = 0
-        yield out()
+        if held:
+            yield out()
+
+    return run
+
+
+def _named(shared):
+    """(lang, source, term, n) for rows with numbers of terms of one part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = pa.array(shared.value, pa.string())
+        for b in batches:
+            yield pa.record_batch([b.column(0), b.column(1), terms.take(b.column(2)), b.column(3)], names=["lang", "source", "term", "n"])
 
     return run
 
@@ -127,12 +148,12 @@ def postings(docs: DataFrame, kept: DataFrame, part_terms: int = PART_TERMS, par
         terms = [r.term for r in dealt.filter(F.col("part") == part).select("term").sort("term").collect()]  # at most part_terms
         if terms:
             shared = docs.sparkSession.sparkContext.broadcast(terms)
-            run = docs.select("lang", "source", "text").mapInArrow(_recount(shared, HELD), "lang string, source string, term string, n long")
+            run = docs.select("lang", "source", "text").mapInArrow(_recount(shared, HELD), "lang string, source string, id int, n long")
+            run = run.groupBy("lang", "source", "id").agg(F.sum("n").alias("n")).mapInArrow(_named(shared), "lang string, source string, term string, n long")
             runs = run if runs is None else runs.union(run)
     if runs is None:
         return docs.sparkSession.createDataFrame([], "lang string, source string, term string, n long")
-    counted = runs.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
-    return counted.join(kept.select("lang", "term"), ["lang", "term"]).select("lang", "source", "term", "n")
+    return runs.join(kept.select("lang", "term"), ["lang", "term"]).select("lang", "source", "term", "n")
 
 
 def _share(n, total, terms):

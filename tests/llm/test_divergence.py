@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.llm import divergence, queries
@@ -71,3 +72,19 @@ def test_shares_of_large_counts_are_exact(spark):
 
 def test_query_matches_sql(spark):
     same(*frames(spark, queries.QUERIES["op12_source_divergence"], queries.ORACLE_SQL["op12_source_divergence"], "/root/testdata/sf0.01"))
+
+
+def test_a_task_hands_on_numbers_of_terms():
+    """Whole numbers, not the terms' text, leave the task; they are named after counting."""
+
+    class Shared:
+        value = ["a", "caf\u00e9", "the"]
+
+    rows = [("en", "s", "The the caf\u00e9 other"), ("en", "t", ""), ("de", "s", "the")]
+    docs = pa.RecordBatch.from_pylist([dict(zip(("lang", "source", "text"), r, strict=True)) for r in rows])
+    for most, n in ((100, 1), (0, 2)):
+        got = list(divergence._recount(Shared, most)(iter([docs])))
+        assert len(got) == n and all(b.schema.field("id").type == pa.int32() for b in got)
+        named = [tuple(r.values()) for b in divergence._named(Shared)(iter(got)) for r in b.to_pylist()]
+        assert sorted(named) == [("de", "s", "the", 1), ("en", "s", "caf\u00e9", 1), ("en", "s", "the", 2)]
+    assert list(divergence._recount(Shared, 9)(iter([]))) == []
