@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -33,12 +34,22 @@ BLOCK = 1 << 14
 END = 1
 #: Chunks of text that a worker's memo holds, about, before it is emptied.
 MEMO = 1_000_000
+#: Bytes of text that are encoded at a time, about; a longer text is encoded alone.
+SLICE = 1 << 24
+#: New words that the library is asked for at a time.
+ASKED = 1 << 13
 
 #: The byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = {b: b if b in _PLAIN else 256 + sum(x not in _PLAIN for x in range(b)) for b in range(256)}
-#: Letters from A to U+024F, all assigned and composed since Unicode 5, then perhaps one mark.
-_LATIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,;:]?)")
+#: Letters from A to U+024F, all assigned and composed since Unicode 5.
+_LETTER = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]"
+_LATIN = re.compile(f"{_LETTER}+")
+#: Where a mark other than the apostrophe follows such a letter, one match of the pattern ends and another begins.
+_MARKED = f"({_LETTER})([!-&(-/:-@\\[-`{{-~])"
+#: What texts hold that aren't cut into chunks: special tokens may hold white space, and these separators are white space
+#: to str.split and Arrow, not to the library.
+_UNCUT = r"<\||[\x1c-\x1f]"
 _MAGIC = b"TWM2"
 _COUNT = np.array([bin(x).count("1") for x in range(256)], dtype=np.uint16)
 
@@ -89,7 +100,7 @@ class WaveletMatrix:
     def _count(plane: np.ndarray) -> np.ndarray:
         padded = np.zeros(-(-max(1, len(plane)) // (SUPER // 8)) * (SUPER // 8), dtype=np.uint8)
         padded[: len(plane)] = plane
-        ones = _COUNT[padded].reshape(-1, SUPER // 8).sum(1, dtype=np.uint32)
+        ones = np.bitwise_count(padded.view(np.uint64)).reshape(-1, SUPER // 64).sum(1, dtype=np.uint32)
         return np.concatenate((np.zeros(1, dtype=np.uint32), np.cumsum(ones, dtype=np.uint32)))
 
     @classmethod
@@ -98,11 +109,11 @@ class WaveletMatrix:
         now = ids.astype(np.uint16 if top < 1 << 16 else np.uint32)
         planes, zeros, ranks = [], [], []
         for level in range(max(1, top.bit_length()) - 1, -1, -1):
-            ones = (now & now.dtype.type(1 << level)) != 0
+            ones = (now & now.dtype.type(1 << level)) != 0  # places are gathered faster than masked elements
             bits = np.packbits(ones, bitorder="little")
             planes.append(_Plane.of(bits))
             ranks.append(cls._count(bits))
-            low, high = now[~ones], now[ones]
+            low, high = now[np.flatnonzero(~ones)], now[np.flatnonzero(ones)]
             zeros.append(len(low))
             now = np.concatenate((low, high))
         return cls(len(ids), planes, zeros, ranks)
@@ -142,8 +153,8 @@ class WaveletMatrix:
         for k in range(levels - 1, -1, -1):
             ones = np.unpackbits(self.planes[k].whole(), count=self.n, bitorder="little").view(bool)
             up = np.empty_like(now)
-            up[~ones] = now[: self.zeros[k]]
-            up[ones] = now[self.zeros[k] :] | now.dtype.type(1 << (levels - 1 - k))
+            up[np.flatnonzero(~ones)] = now[: self.zeros[k]]
+            up[np.flatnonzero(ones)] = now[self.zeros[k] :] | now.dtype.type(1 << (levels - 1 - k))
             now = up
         return now
 
@@ -202,70 +213,100 @@ class WaveletMatrix:
 
 class Encoder:
     """Ids of whole texts by a tokenizers file that drops white space: its matches never hold any, so the chunks between white
-    space are encoded on their own, by the library, and remembered. What a chunk gives never depends on the chunks before it."""
+    space are encoded on their own, by the library, and remembered. What a chunk gives never depends on the chunks before it.
+    Texts come as Arrow columns: Arrow cuts them and numbers their chunks, so Python meets each chunk of a column once."""
 
     def __init__(self, path: str, memo: int = MEMO):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.memo, self.limit = {}, memo
-        self.tokenize = self.library.model.tokenize
+        self.model = Tokenizer(self.library.model)  # alone: words in bytes' characters, one a line
+        self.model.pre_tokenizer = pre_tokenizers.Split("\n", "removed")
+        vocab, suffix = self.library.get_vocab(), self.library.model.end_of_word_suffix
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)  # ids that end a word
+        self.ends[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
+
+    def tokenize(self, words: str) -> list[int]:
+        return self.model.encode_batch_fast([words], add_special_tokens=False)[0].ids
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         return [_pack(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: set[str]) -> None:
-        """Remembers chunks. Those of Latin letters, perhaps with one mark behind them, are one match of the pattern and one
-        more, whatever the Unicode version, and no normal form changes them: their lower-case bytes go straight to the
-        library's model. All other chunks go through the library as they are."""
-        memo, tokenize, others = self.memo, self.tokenize, []
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Of lower-case words, many in one call: the ids that end a word say where each one's ids end."""
+        own = [w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_CHARS) for w in words]
+        ids = np.array(self.tokenize("\n".join(own)), dtype="<u4")
+        ends = 4 * np.flatnonzero(self.ends[ids]) + 4
+        if len(ends) != len(words):  # a vocabulary without words' ends
+            return self._ask(words)
+        raw, ends = ids.tobytes(), ends.tolist()
+        return [raw[a:e] for a, e in zip([0, *ends], ends, strict=False)]
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Remembers chunks. Those of Latin letters are one match of the pattern, whatever the Unicode version, and no normal
+        form changes them: their lower-case bytes go straight to the library's model, once for all forms in other letters. All
+        other chunks go through the library as they are."""
+        memo, others, words, forms = self.memo, [], {}, {}
         for c in chunks:
-            if c.isascii() and c.isalpha():
-                word, mark = c, ""
-            elif c[-1] in ".,;:" and c.isascii() and c[:-1].isalpha():
-                word, mark = c[:-1], c[-1]
+            if (c.isalpha() if c.isascii() else _LATIN.fullmatch(c)):
+                low = c.lower()
+                if low not in memo:
+                    words[low] = None
+                if low != c:
+                    forms[c] = low
             else:
-                m = _LATIN.fullmatch(c)
-                if not m:
-                    others.append(c)
-                    continue
-                word, mark = m.groups()
-            low = word.lower()
-            got = memo.get(low)  # known without the mark or in other letters: both give the same ids
-            if got is None:
-                own = low if low.isascii() else low.encode().decode("latin-1").translate(_BYTE_CHARS)
-                got = memo[low] = _pack([t.id for t in tokenize(own)])
-            memo[c] = got + (self.marks.get(mark) or self._mark(mark)) if mark else got
-        if others:
-            memo.update(zip(others, self._ask(others), strict=True))
-
-    marks: dict[str, bytes] = {}
-
-    def _mark(self, mark: str) -> bytes:
-        self.marks = self.marks | {mark: self._ask([mark])[0]}
-        return self.marks[mark]
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """As the library encodes each whole text, as little-endian unsigned 32-bit integers.
-
-        str.split also splits at the four separators 1C to 1F, which aren't white space to the library, and strings of
-        special tokens may hold white space: such texts are encoded whole. The memo is emptied between calls if it is full.
+                others.append(c)
+        new = list(words)
+        for at in range(0, len(new), ASKED):
+            some = new[at : at + ASKED]
+            memo.update(zip(some, self._words(some), strict=True))
+        memo.update(zip(forms, map(memo.__getitem__, forms.values()), strict=True))
+        memo.update(zip(others, self._ask(others), strict=True))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, as the library encodes each whole text, and how many each text has.
+
+        Texts that hold ``_UNCUT`` are encoded whole. The memo is emptied between calls if it is full.
         """
         memo = self.memo
         if len(memo) > self.limit:
             memo.clear()
-        whole = [i for i, t in enumerate(texts) if "<|" in t or "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t]
-        odd = set(whole)
-        split = [[] if i in odd else (t.lower() if t.isascii() else t).split() for i, t in enumerate(texts)]
-        new = set().union(*split).difference(memo)
-        if new:
-            self._learn(new)
-        get = memo.__getitem__
-        out = [b"".join(map(get, chunks)) for chunks in split]
-        for i, ids in zip(whole, self._ask([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        return out
+        memo[""] = b""  # white space at an end leaves an empty chunk
+        uncut = pc.match_substring_regex(texts, _UNCUT)
+        cut = pc.replace_substring_regex(pc.if_else(uncut, pa.scalar("", texts.type), texts), _MARKED, r"\1 \2")
+        split = pc.utf8_split_whitespace(cut)
+        chunks = split.flatten().dictionary_encode()
+        names = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._learn([c for c in names if c not in memo])
+        known = list(map(memo.__getitem__, names))
+        starts = np.zeros(len(known) + 1, dtype=np.int32)
+        np.cumsum(np.fromiter(map(len, known), dtype=np.int32, count=len(known)) // 4, out=starts[1:])
+        got = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.frombuffer(b"".join(known), dtype="<u4"))).take(chunks.indices)
+        ids, at = got.flatten().to_numpy(), got.offsets.to_numpy()[split.offsets.to_numpy()]
+        sizes = np.diff(at).astype(np.int64)
+        which = np.flatnonzero(uncut.to_numpy(zero_copy_only=False))
+        if len(which):  # these have no ids yet
+            asked = [np.frombuffer(x, dtype="<u4") for x in self._ask(texts.take(pa.array(which)).to_pylist())]
+            sizes[which] = list(map(len, asked))
+            first, *others = np.split(ids, at[which])
+            ids = np.concatenate([first, *(x for pair in zip(asked, others, strict=True) for x in pair)])
+        return ids, sizes
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """``encode`` of each text, as little-endian unsigned 32-bit integers."""
+        ids, sizes = self.encode(pa.array(texts, pa.string()))
+        raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(sizes)).tolist()
+        return [raw[a:e] for a, e in zip([0, *ends], ends, strict=False)]
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch (doc_id, text) in slices of about ``SLICE`` bytes of text."""
+    at = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(), dtype=np.int64) // SLICE
+    cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), batch.num_rows]
+    for a, e in zip(cuts, cuts[1:], strict=False):
+        yield batch.slice(a, e - a)
 
 
 SHARD = "part int, seq int, n_tokens long, doc_ids array<long>, lengths array<long>, matrix binary"
@@ -281,28 +322,26 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, seq = _encoder(tokenizer_path), TaskContext.get().partitionId(), 0
-        ids, docs_, lengths, total, end = [], [], [], 0, struct.pack("<I", end_id)
+        ids, docs_, lengths, total = [], [], [], 0
 
         def shard() -> pa.RecordBatch:
-            matrix = WaveletMatrix.build(np.frombuffer(b"".join(ids), dtype="<u4"))
+            matrix = WaveletMatrix.build(np.concatenate(ids))
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             return pa.record_batch([pa.array([x], t) for x, t in zip((part, seq, total, docs_, lengths, matrix.to_bytes()), kinds, strict=True)], names=["part", "seq", "n_tokens", "doc_ids", "lengths", "matrix"])
 
-        def encoded(b: pa.RecordBatch) -> Iterator[tuple[int | None, bytes]]:
-            for at in range(0, b.num_rows, 256):  # bounds what is encoded at a time
-                part = b.slice(at, 256)
-                yield from zip(part.column(0).to_pylist(), encoder.encode_all(part.column(1).to_pylist()), strict=True)
-
         for b in batches:
-            for doc_id, got in encoded(b):
-                got += end
-                if docs_ and total + len(got) // 4 > shard_tokens:
-                    yield shard()
-                    ids, docs_, lengths, total, seq = [], [], [], 0, seq + 1
-                ids.append(got)
-                docs_.append(doc_id)
-                lengths.append(len(got) // 4)
-                total += len(got) // 4
+            for some in _slices(b):
+                got, sizes = encoder.encode(some.column(1))
+                got, at = np.insert(got, np.cumsum(sizes), end_id), 0
+                for doc_id, size in zip(some.column(0).to_pylist(), (sizes + 1).tolist(), strict=True):
+                    if docs_ and total + size > shard_tokens:
+                        yield shard()
+                        ids, docs_, lengths, total, seq = [], [], [], 0, seq + 1
+                    ids.append(got[at : at + size])
+                    docs_.append(doc_id)
+                    lengths.append(size)
+                    total += size
+                    at += size
         if docs_:
             yield shard()
 

@@ -3,6 +3,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -70,6 +71,62 @@ def test_a_word_is_tokenized_once_in_all_its_forms():
     assert len(asked) == len(set(asked)) and asked[0] == "treelike"
 
 
+def test_a_chunk_is_looked_up_once_a_column():
+    class Counted(dict):
+        reads = 0
+
+        def __getitem__(self, key):
+            Counted.reads += 1
+            return super().__getitem__(key)
+
+    own, text = token_store.Encoder(PATH), "the sea the moon, " * 500
+    own.memo = Counted()
+    assert own.encode_all([text] * 20) == [token_store.Encoder(PATH)._ask([text])[0]] * 20
+    assert Counted.reads < 30
+
+
+def test_a_word_is_cut_from_the_marks_behind_it():
+    own, words, asked = token_store.Encoder(PATH), [], []
+    model, ask = own.tokenize, own._ask
+    own.tokenize = lambda joined: words.extend(joined.split("\n")) or model(joined)
+    own._ask = lambda chunks: asked.extend(chunks) or ask(chunks)
+    texts = ["tree!! Tree$$$ tree. TREE*,* tree", "tree%%% tree&&& \u00e9t\u00e9!!", "tree@x.tree#"]
+    got = own.encode_all(texts)
+    assert got == ask(texts) and sorted(words) == ["tree", token_store.Encoder(PATH).library.pre_tokenizer.pre_tokenize_str("\u00e9t\u00e9")[0][0]]
+    assert sorted(asked) == sorted(["!!", "$$$", ".", "*,*", "%%%", "&&&", "@x", ".tree", "#"])
+
+
+def test_cut_texts_encode_as_the_library():
+    """Every ASCII mark and every white space beside letters, digits, apostrophes, marks that compose and special tokens."""
+    library, rng = Tokenizer.from_file(PATH), random.Random(12)
+    own = token_store.Encoder(PATH)
+    near = ["a", "T", "\u00e9", "\u00c9", "e\u0301", "H\u0331", "h\u0331", "\u0130", "\u023a", "\u03a3", "\u6f22", "1", "'s", "'LL", "'", "\u0338", "<|endoftext|>", "<|", "\x1c"]
+    marks = [chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum()] + [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    texts = [f"{a}{m}{b}" for m in marks for a in near for b in near]
+    texts += ["".join(rng.choice(near[:-3] + marks) for _ in range(rng.randint(2, 9))) for _ in range(5000)] + ["", " ", "<|endoftext|>"]
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array(["left out", *texts, "left out"], kind).slice(1, len(texts))
+        ids, sizes = own.encode(column)
+        for t, a, e in zip(texts, np.cumsum(sizes) - sizes, np.cumsum(sizes), strict=True):
+            assert ids[a:e].tolist() == library.encode(t, add_special_tokens=False).ids, ascii(t)
+
+
+def test_a_vocabulary_without_ends_of_words():
+    own = token_store.Encoder(PATH)
+    own.ends[:] = False
+    texts = ["treelike, sea \u00e9t\u00e9", ""]
+    assert own.encode_all(texts) == own._ask(texts)
+
+
+def test_slices_hold_every_row_once(monkeypatch):
+    monkeypatch.setattr(token_store, "SLICE", 10)
+    texts = ["", "abc", "x" * 40, "", "de", "\u00e9" * 4, "fgh", ""]
+    batch = pa.record_batch([pa.array(range(8)), pa.array(texts)], names=["doc_id", "text"])
+    got = [s.column(1).to_pylist() for s in token_store._slices(batch)]
+    assert sum(got, []) == texts and len(got) > 2 and all(got)
+    assert [s.num_rows for s in token_store._slices(batch.slice(0, 0))] in ([], [0])
+
+
 def test_lookups_inflate_what_they_touch():
     ids = np.random.default_rng(3).integers(0, 1 << 16, 1 << 20).astype(np.uint32)
     w = token_store.WaveletMatrix.from_bytes(token_store.WaveletMatrix.build(ids).to_bytes())
