@@ -47,3 +47,29 @@ def test_penalty_and_activity(spark):
     dual = kkt.projected_dual(diffs, 1.0)
     a, b = ({r.tumor_id: (r.edge_residual, r.ball_residual) for r in x.collect()} for x in (kkt.edge_maxima(dual), kkt.uniform_maxima(profile, 3)))
     assert a.keys() == b.keys() and all(np.allclose(a[k], b[k]) for k in a)
+
+
+def test_diameters_and_cross_distances(spark):
+    rng = np.random.default_rng(3)
+    place = {(t, i): rng.random(3).round(2 if t == "A" else 6) for t, m in (("A", 50), ("B", 60)) for i in range(m)}
+    rows = [(t, i, "xyz"[r], float(x[r]), True) for (t, i), x in place.items() for r in range(3)]
+    rows += [("N", i, "x", x, True) for i, x in enumerate((0.1, 0.2, float("nan")))]
+    profile = spark.createDataFrame(rows, ROW)
+    labels = profile.select("tumor_id", "mutation_id", F.when(F.col("tumor_id") == "N", 0).otherwise(F.least(F.col("mutation_id") % 4, F.lit(49) - F.col("mutation_id")).cast("int")).alias("cluster")).distinct()
+    blocks = {}
+    for r in labels.filter("tumor_id <> 'N'").collect():
+        blocks.setdefault((r.tumor_id, r.cluster), []).append(place[r.tumor_id, r.mutation_id])
+    far = lambda a, b, f=max: f(float(np.linalg.norm(x - y)) for x in a for y in b)
+    got = {(r.tumor_id, r.cluster): r.diameter for r in partitions.diameters(profile, labels).collect()}
+    assert np.isnan(got.pop(("N", 0))) and got == pytest.approx({k: far(x, x) for k, x in blocks.items()})
+    cross = {(r.tumor_id, r.a, r.b): (r.farthest, r.nearest) for r in partitions.cross_distances(profile, labels).collect()}
+    want = {(a[0], a[1], b[1]): (far(blocks[a], blocks[b]), far(blocks[a], blocks[b], min)) for a, b in itertools.permutations(blocks, 2) if a[0] == b[0] and a[1] < b[1]}
+    assert cross.keys() == want.keys() and all(cross[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_components_with_equal_and_unobserved(spark):
+    rows = [("T", i, "x", x, True) for i, x in enumerate((0.1, 0.1, 0.15, 0.5, 0.5, 0.9))] + [("T", i, "x", 0.3, False) for i in (6, 7)]
+    profile = spark.createDataFrame(rows, ROW)
+    got = lambda tol: sorted((r.mutation_id, r.component) for r in partitions.components(profile, tol).collect())
+    assert got(0.06) == [(0, 0), (1, 0), (2, 0), (3, 3), (4, 3), (5, 5), (6, 6), (7, 7)]
+    assert got(1.0) == [(i, 0) for i in range(8)]
