@@ -73,3 +73,18 @@ def test_components_with_equal_and_unobserved(spark):
     got = lambda tol: sorted((r.mutation_id, r.component) for r in partitions.components(profile, tol).collect())
     assert got(0.06) == [(0, 0), (1, 0), (2, 0), (3, 3), (4, 3), (5, 5), (6, 6), (7, 7)]
     assert got(1.0) == [(i, 0) for i in range(8)]
+
+
+@pytest.mark.parametrize("chunk", [3, 2048])
+def test_nearest_edges_are_those_of_all_distances(spark, monkeypatch, chunk):
+    monkeypatch.setattr(primal_dual, "CHUNK", chunk)
+    profile = made(spark, 5)
+    tau = profile.select("tumor_id").distinct().withColumn("tau", F.lit(0.05))
+    want = {(r.tumor_id, r.u, r.v): r.w for r in primal_dual.neighbour_edges(graph.distances(profile), tau, 3).collect()}
+    assert {(r.tumor_id, r.u, r.v): r.w for r in primal_dual.nearest_edges(profile, tau, 3, 3).collect()} == pytest.approx(want)
+
+
+def test_adaptive_weights_average(spark):
+    profile = made(spark, 7)
+    got = graph.adaptive_edges(profile, profile.select("tumor_id").distinct().withColumn("tau", F.lit(0.05)), baseline=2.0).groupBy("tumor_id").agg(F.avg("w").alias("w"), F.count("*").alias("n"))
+    assert {r.tumor_id: (round(r.w, 9), r.n) for r in got.collect()} == {"A": (round(2 / 39, 9), 780), "B": (round(2 / 24, 9), 300), "C": (round(2 / 11, 9), 66)}
