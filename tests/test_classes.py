@@ -75,6 +75,13 @@ def test_components_with_equal_and_unobserved(spark):
     assert got(1.0) == [(i, 0) for i in range(8)]
 
 
+def test_components_of_a_long_chain(spark):
+    """A chain in an odd order takes many rounds; with sizes estimated round upon round planning took twice as long each time."""
+    order = np.random.default_rng(0).permutation(50)
+    profile = spark.createDataFrame([("T", int(m), "x", 0.01 * i, True) for i, m in enumerate(order)], ROW)
+    assert {(r.component) for r in partitions.components(profile, 0.015).collect()} == {0}
+
+
 @pytest.mark.parametrize("chunk", [3, 2048])
 def test_nearest_edges_are_those_of_all_distances(spark, monkeypatch, chunk):
     monkeypatch.setattr(primal_dual, "CHUNK", chunk)
